@@ -161,6 +161,16 @@ def window_ok(bounds: np.ndarray, n: int) -> np.ndarray:
     return ok[: total - n + 1]
 
 
+def sequence_hash(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each slice's sequence of hashes."""
+    lens = np.diff(bounds)
+    place = ragged(np.zeros(len(lens), np.int64), lens).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        each = mix(h + mix(place) * GOLDEN)
+        run = np.concatenate([[np.uint64(0)], np.cumsum(each, dtype=np.uint64)])
+        return mix((run[bounds[1:]] - run[bounds[:-1]]) ^ lens.astype(np.uint64))
+
+
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Indices of the concatenated slices ``[start, start + len)``."""
     total = int(lens.sum())
@@ -191,3 +201,8 @@ def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
             held.append(t.slice(int(a), int(b - a)))
     if held:
         yield pa.concat_tables(held)
+
+
+def small(df: DataFrame, row_bytes: int, limit: int = 64 << 20) -> DataFrame:
+    """``df`` marked for broadcast if its rows come to at most ``limit`` bytes; else as it is, to be shuffled."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df

@@ -6,14 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontaminate, quality
+from .decontaminate import op2_decontamination
+from .line_dedup import op10_line_dedup
+from .near_dedup import op4_near_dedup
 from .packing import op3_packing
+from .quality import op5_quality_rules
 from .token_counts import op9_token_counts
 from .token_output import op1_token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
+    "op2_decontamination": op2_decontamination,
     "op3_packing": op3_packing,
+    "op4_near_dedup": op4_near_dedup,
+    "op5_quality_rules": op5_quality_rules,
     "op9_token_counts": op9_token_counts,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_decontamination": decontaminate.ORACLE,
+    "op5_quality_rules": quality.ORACLE,
+}
