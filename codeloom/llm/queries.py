@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, quality, substring_dedup
+from .classifier import op8_quality_classifier
 from .decontaminate import op2_decontamination
+from .licenses import op6_license_scan
 from .line_dedup import op10_line_dedup
 from .near_dedup import op4_near_dedup
 from .packing import op3_packing
@@ -22,7 +24,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_near_dedup": op4_near_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op6_license_scan": op6_license_scan,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_token_counts": op9_token_counts,
     "op10_line_dedup": op10_line_dedup,
 }

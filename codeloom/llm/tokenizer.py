@@ -20,7 +20,7 @@ import tiktoken
 
 DEFAULT_VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Distinct chunks a worker remembers; beyond that it starts afresh (speed only, never the result).
+#: Distinct chunks a worker remembers; the common ones come early, later ones are made anew (speed only).
 CACHE = 600_000
 #: The same for the regex module, whose own \\s also takes the four separators 1C to 1F.
 _FIND = PATTERN.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]").replace(r"(?!\S)", r"(?!\P{White_Space})").replace(r"\s+", r"\p{White_Space}+")
@@ -49,7 +49,9 @@ class Chunks:
         first = bounds[:-1][np.diff(bounds) > 0]
         codes[first] -= n  # the first chunk has no space before it
         words = flat.dictionary.to_pylist()
-        used, codes = np.unique(codes, return_inverse=True) if len(codes) else (codes, codes)
+        seen = np.zeros(2 * n, bool)
+        seen[codes] = True
+        used, codes = np.flatnonzero(seen), (np.cumsum(seen) - 1)[codes]
         self.vocab = [words[i] if i < n else " " + words[i - n] for i in used.tolist()]
         odd = np.asarray(pc.match_substring_regex(text, _SPACES).to_numpy(zero_copy_only=False), bool)
         if odd.any():
@@ -70,15 +72,13 @@ class Cache:
         self.make, self.most, self.kept = make, most, {}
 
     def of(self, vocab: list[str]) -> list:
-        kept, make = self.kept, self.make
-        if len(kept) > self.most:
-            kept.clear()
+        kept, make, most = self.kept, self.make, self.most
         out = []
         for w in vocab:
             v = kept.get(w)
             if v is None:
                 v = make(w)
-                if len(w) < 200:
+                if len(kept) < most and len(w) < 200:
                     kept[w] = v
             out.append(v)
         return out
@@ -138,35 +138,42 @@ class PrefixTable:
         self.longest = max(map(len, self.rank))
         self.piece = enc._encode_single_piece
         self.pairs: dict[int, bool] = {}
-        self.alone: dict[int, bool] = {}
         self.find = regex.compile(_FIND).findall
+        self.states: dict[bytes, int] = {}
         self.words = Cache(self._word, 300_000)
         self.chunks = Cache(self._chunk)
 
     def _fits(self, a: int, b: int) -> bool:
-        if a < 0:
-            ok = self.alone.get(b)
-            if ok is None:
-                ok = self.alone[b] = self.piece(self.bytes_of[b]) == [b]
-            return ok
-        key = a << 32 | b
-        ok = self.pairs.get(key)
-        if ok is None:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            ok = self.pairs[key] = self.piece(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        """Whether token b can follow token a (-1: begin a piece) in an encoding."""
+        ok = self.piece(self.bytes_of[b]) == [b] if a < 0 else self.piece(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        if len(self.pairs) < 1_000_000:
+            self.pairs[a << 32 | b] = ok
         return ok
 
     def _counts(self, raw: bytes) -> list[int]:
-        """Tokens of raw[:i] for i = 0 .. len(raw); raw is one piece that no pattern splits."""
-        get, fits, longest = self.rank.get, self._fits, self.longest
+        """Tokens of raw[:i] for i = 0 .. len(raw); raw is one piece that no pattern splits.
+
+        Prefixes that pieces share are solved once: ``states`` has the last token and the count of a prefix.
+        """
+        get, pair, longest, states = self.rank.get, self.pairs.get, self.longest, self.states
         last, count = [-1], [0]
         for end in range(1, len(raw) + 1):
-            for begin in range(max(0, end - longest), end):
+            head = raw[:end] if end <= 24 else None
+            known = states.get(head) if head is not None else None
+            if known is not None:
+                last.append(known >> 8)
+                count.append(known & 255)
+                continue
+            for begin in range(end - 1, max(0, end - longest) - 1, -1):
                 t = get(raw[begin:end])
-                if t is not None and fits(last[begin], t):
+                if t is None:
+                    continue
+                fits = pair(last[begin] << 32 | t)
+                if fits or fits is None and self._fits(last[begin], t):
                     last.append(t)
                     count.append(count[begin] + 1)
+                    if head is not None and len(states) < 1_000_000:
+                        states[head] = t << 8 | count[end]
                     break
             else:
                 raise ValueError("the vocabulary does not cover every byte")
@@ -180,19 +187,30 @@ class PrefixTable:
         count = self._counts(raw)
         if len(raw) == len(word):
             return count[1:]
-        ends = np.cumsum([len(c.encode()) for c in word])
-        return [count[e] for e in ends]
+        at, out = 0, []
+        for c in word:
+            at += 1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4
+            out.append(count[at])
+        return out
 
     def _chunk(self, chunk: str) -> bytes:
-        at, base, out, space = 0, 0, [], _SPACE.fullmatch
+        words, of, out, before = self.find(chunk), self.words.of, [], 0
+        if len(words) == 1 or not _SPACE.search(chunk, 1):  # no white space but a leading one: pieces simply add up
+            for counts in of(words):
+                before = 0
+                for c in counts:
+                    out.append(c - before & 255 if -128 <= c - before < 128 else self._wide(c - before))
+                    before = c
+            return bytes(out)
+        at, base, space = 0, 0, _SPACE.fullmatch
         run_at, run_base = -1, 0
-        for word in self.find(chunk):
+        for word in words:
             if space(word[0]):
                 if run_at < 0:
                     run_at, run_base = at, base
             else:
                 run_at = -1
-            mine = self.words.of([word])[0]
+            mine = of([word])[0]
             if run_at >= 0 and run_at < at:  # white space went before: up to the next other character they are one run
                 stop = at + (len(word) if space(word) else 1)
                 run = self._word(chunk[run_at:stop])
@@ -203,7 +221,14 @@ class PrefixTable:
             if not space(word):
                 run_at = -1
             at, base = at + len(word), base + mine[-1]
-        return np.diff(np.asarray(out, np.int64), prepend=0).astype(np.int8).tobytes() if out else b""
+        steps = np.diff(np.asarray(out, np.int64), prepend=0)
+        if len(steps) and (steps.min() < -128 or steps.max() > 127):
+            self._wide(int(steps.max()))
+        return steps.astype(np.int8).tobytes()
+
+    @staticmethod
+    def _wide(step: int) -> int:
+        raise ValueError(f"a token joins more than 128 others: {step}")
 
     def deltas(self, text: pa.Array) -> list[bytes]:
         c = Chunks(text)
