@@ -1 +1 @@
-"""Property-graph analytics of software projects on Spark."""
+"""Typed property graphs of software projects on Spark DataFrames."""
