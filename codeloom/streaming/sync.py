@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom import storage
 from codeloom.extract import registry
-from codeloom.operators import build, incremental, layers, lookup
+from codeloom.operators import build, incremental, layers
 from codeloom.sources.store import Store
 
 
@@ -47,8 +47,7 @@ def sync(files: DataFrame, store: Store, force: bool = False) -> Outcome:
         changed = changes.where("change_class <> 'unchanged'").select("file_path")
         part = files.join(changed, files["path"] == changed["file_path"], "left_semi")
         nodes, edges, _ = build.build(part, storage.materialize(registry.analyze(part), "analyses"))
-        drop = [c for c in ("ord",) if c in nodes.columns]
-        n = nodes.drop(*drop)
+        n = nodes.drop("ord")
         old_nodes, old_edges = graph["nodes"].select(*n.columns), graph["edges"]
         merged = storage.materialize(incremental.merge_nodes(old_nodes, changed, n), "merged-nodes")
         kept = storage.materialize(incremental.merge_edges(old_nodes, old_edges, changed, n, edges.select(*old_edges.columns)), "merged-edges")
@@ -71,7 +70,3 @@ def watch(events: DataFrame, store: Store, read_files, checkpoint: str, key: str
             sync(read_files(), store)
 
     return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
-
-
-def replace_rows(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    return lookup.upsert(old, new, key)
