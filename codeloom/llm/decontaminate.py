@@ -107,16 +107,12 @@ def _sets(benchmark: DataFrame, n: int, set_size: int) -> list:
     return [spark.sparkContext.broadcast([tuple(r) for r in p.collect()]) for p in parts]
 
 
-_made: dict[int, Hits] = {}
-
-
 def _finder(shared) -> Hits:
-    """The set of a broadcast, built once per worker."""
-    key = shared.id if hasattr(shared, "id") else id(shared)
-    if key not in _made:
-        _made.clear()
-        _made[key] = Hits(shared.value)
-    return _made[key]
+    """The set of a broadcast, built once per worker and kept on the worker's copy of the broadcast itself."""
+    made = shared.__dict__.get("hits")
+    if made is None:
+        made = shared.__dict__["hits"] = Hits(shared.value)
+    return made
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, gap: int = GAP, set_size: int = SET_SIZE) -> DataFrame:
