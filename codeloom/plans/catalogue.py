@@ -58,8 +58,8 @@ EDGES = f"""edges AS (
   UNION ALL SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey, 'contains', 'forward', 1.0, {BAND} + c_custkey FROM customer
   UNION ALL SELECT 'order:' || o_orderkey, 'customer:' || o_custkey, 'calls', 'forward', 0.8, {2 * BAND} + o_orderkey FROM orders
   UNION ALL SELECT 'order:' || k, 'order:' || t, 'calls', 'forward', 0.8, {3 * BAND} + k FROM (SELECT o_orderkey AS k, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS t FROM orders) WHERE t IS NOT NULL
-  UNION ALL SELECT 'order:' || l_orderkey, 'part:' || l_partkey, 'imports', 'forward', 0.7, {4 * BAND} + min(l_orderkey * 10 + l_linenumber) FROM lineitem GROUP BY l_orderkey, l_partkey
-  UNION ALL SELECT 'order:' || l_orderkey, 'supplier:' || l_suppkey, 'depends_on', 'forward', arg_min(l_discount, l_orderkey * 10 + l_linenumber) * 10, {5 * BAND} + min(l_orderkey * 10 + l_linenumber) FROM lineitem GROUP BY l_orderkey, l_suppkey)"""
+  UNION ALL SELECT 'order:' || l_orderkey, 'part:' || l_partkey, 'imports', 'forward', 0.7, {4 * BAND} + l_orderkey * 1000 + turn FROM (SELECT *, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS turn FROM lineitem) GROUP BY l_orderkey, l_partkey, turn
+  UNION ALL SELECT 'order:' || l_orderkey, 'supplier:' || l_suppkey, 'depends_on', 'forward', max(l_discount) * 10, {5 * BAND} + l_orderkey * 1000 + turn FROM (SELECT *, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey) AS turn FROM lineitem) GROUP BY l_orderkey, l_suppkey, turn)"""
 BOTH = f"{NODES},\n{EDGES}"
 _DIRTY_NODES = """dirty AS (
   SELECT ord, CASE WHEN ord % 29 <> 0 THEN id END AS id,
@@ -433,9 +433,9 @@ def normalize_batch_dropped(s, d):
     return _batch(s, d).dropped.select("source", "target", "type", "reason").distinct()
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC) = 1")
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC) = 1")
 def dedup_last_wins(s, d):
-    lines = G.table(s, d, "lineitem").withColumn("ord", F.struct("l_linenumber", "l_partkey"))
+    lines = G.table(s, d, "lineitem").withColumn("ord", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     return lookup.last_wins(lines, "l_orderkey").select("l_orderkey", "l_linenumber", "l_quantity")
 
 
@@ -548,7 +548,7 @@ def ignore_rules(s, d):
 def _snap(new: bool) -> str:
     p = "l_partkey % 11"
     return f"""SELECT 'src/d' || l_orderkey % 5 || '/o' || l_orderkey || '.py' AS file_path, l_orderkey % 50 <> 0 AS whole,
-  list(struct_pack(name := 'fn_' || l_partkey || CASE WHEN {p} = 4 AND {new} THEN '_v2' ELSE '' END, p2 := CASE WHEN {p} = 3 AND {new} THEN 'extra' ELSE l_linestatus END, p1 := l_returnflag, exported := l_linenumber % 2 = 0, n := (l_quantity * CASE WHEN {p} = 5 AND {new} THEN 3 ELSE 1 END)::INT) ORDER BY l_linenumber, l_partkey) AS fns
+  list(struct_pack(name := 'fn_' || l_partkey || CASE WHEN {p} = 4 AND {new} THEN '_v2' ELSE '' END, p2 := CASE WHEN {p} = 3 AND {new} THEN 'extra' ELSE l_linestatus END, p1 := l_returnflag, exported := l_linenumber % 2 = 0, n := (l_quantity * CASE WHEN {p} = 5 AND {new} THEN 3 ELSE 1 END)::INT) ORDER BY l_linenumber, l_partkey, l_returnflag, CASE WHEN {p} = 3 AND {new} THEN 'extra' ELSE l_linestatus END, l_quantity) AS fns
   FROM lineitem WHERE l_orderkey % 7 <> {1 if new else 2} GROUP BY l_orderkey"""
 
 
@@ -779,5 +779,5 @@ def session_windows(s, d):
 @query(f"SELECT user_id, event_id FROM ({_GAP}) WHERE gap IS NULL OR gap >= INTERVAL 2 HOUR")
 def debounce_stream(s, d):
     path = f"{d}/events.parquet"
-    live = s.readStream.schema(s.read.parquet(path).schema).parquet(path)
+    live = s.readStream.schema(s.read.parquet(path).schema).parquet(f"{d}/event[s].parquet")  # a glob: the table may be one file
     return streams.run_to_table(streams.debounce_stream(live, "user_id", 7200), "debounced")

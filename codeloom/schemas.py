@@ -5,8 +5,32 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_SIMPLE = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+
+
+def _cut(text: str) -> list[str]:
+    """At commas outside angle brackets."""
+    out, depth, at = [], 0, 0
+    for i, c in enumerate(text):
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append(text[at:i].strip())
+            at = i + 1
+    return [*out, text[at:].strip()]
+
+
+def _type(text: str) -> T.DataType:
+    if text in _SIMPLE:
+        return _SIMPLE[text]
+    outer, inner = text[:-1].split("<", 1)
+    if outer == "array":
+        return T.ArrayType(_type(inner))
+    return T.StructType([T.StructField(name.strip(" `"), _type(kind.strip())) for name, kind in (f.split(":", 1) for f in _cut(inner))])
+
+
 def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """A schema from its text, read here: workers import this module and have no session to ask."""
+    return T.StructType([T.StructField(name.strip("`"), _type(kind)) for name, kind in (f.split(" ", 1) for f in _cut(text))])
 
 
 DOMAIN_META = "struct<entities: array<string>, business_rules: array<string>, cross_domain_interactions: array<string>, entry_point: string, entry_type: string>"

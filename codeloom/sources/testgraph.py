@@ -79,9 +79,16 @@ def edges(spark: SparkSession, root: str) -> DataFrame:
         return df.select("source", "target", F.lit(kind).alias("type"), F.lit("forward").alias("direction"), F.lit(None).cast("string").alias("description"), weight.cast("double").alias("weight"), "ord")
 
     nation, customer, orders, lines = (table(spark, root, t) for t in ("nation", "customer", "orders", "lineitem"))
-    place = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    part = lines.groupBy(_key("order", "l_orderkey").alias("source"), _key("part", "l_partkey").alias("target")).agg((F.lit(4 * BAND) + F.min(place)).alias("ord"))
-    supplier = lines.groupBy(_key("order", "l_orderkey").alias("source"), _key("supplier", "l_suppkey").alias("target")).agg((F.lit(5 * BAND) + F.min(place)).alias("ord"), F.min_by("l_discount", place).alias("share"))
+
+    def ends(kind: str, key: str, band: int, share: Column) -> DataFrame:
+        """One row for each order and what it names; the window's partitioning serves the grouping, too."""
+        turn = F.dense_rank().over(Window.partitionBy("l_orderkey").orderBy(key))
+        ranked = lines.select("l_orderkey", key, "l_discount", turn.alias("turn"))
+        grouped = ranked.groupBy("l_orderkey", key, "turn").agg(share.alias("share"))
+        return grouped.select(_key("order", "l_orderkey").alias("source"), _key(kind, key).alias("target"), (F.lit(band * BAND) + F.col("l_orderkey") * 1000 + F.col("turn")).alias("ord"), "share")
+
+    part = ends("part", "l_partkey", 4, F.lit(0.0))
+    supplier = ends("supplier", "l_suppkey", 5, F.max("l_discount"))
     parts = [
         typed(nation.select(_key("region", "n_regionkey").alias("source"), _key("nation", "n_nationkey").alias("target"), F.col("n_nationkey").cast("bigint").alias("ord")), "contains", F.lit(1.0)),
         typed(customer.select(_key("nation", "c_nationkey").alias("source"), _key("customer", "c_custkey").alias("target"), (F.lit(BAND) + F.col("c_custkey")).alias("ord")), "contains", F.lit(1.0)),
