@@ -383,3 +383,20 @@ def test_pigeonhole_pairs_are_complete(spark):
     got = [(r["a"], r["b"]) for r in line_dedup.candidate_pairs(df).collect()]
     want = {(i, j) for i, j in itertools.combinations(range(len(sigs)), 2) if int(np.bitwise_count(sigs[i] ^ sigs[j])) <= line_dedup.RADIUS}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_split_groups_verify_alike(spark):
+    texts = [prose(70, 30) + " " + "x" * k for k in range(12)] + [prose(71 + k, 30) for k in range(6)]
+    named = spark.createDataFrame(list(enumerate(texts)), "hash bigint, norm string")
+    pairs = spark.createDataFrame(list(itertools.combinations(range(len(texts)), 2)), "a bigint, b bigint")
+    want = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if _distance(texts[a], texts[b]) <= math.floor(max(len(texts[a]), len(texts[b])) * 0.1 + 1e-9)}
+    root = list(range(len(texts)))
+    for a, b in want:
+        root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    for limit in (50_000, 7):
+        got = {(r["a"], r["b"]) for r in line_dedup.verified_edges(pairs, named, group_pairs=limit).collect()}
+        assert got <= want
+        mine = list(range(len(texts)))
+        for a, b in got:
+            mine = [min(mine[a], mine[b]) if r in (mine[a], mine[b]) else r for r in mine]
+        assert mine == root
