@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codeloom import storage
+
 
 def node(nodes: DataFrame, node_id: str) -> DataFrame:
     return nodes.where(F.col("id") == node_id)
@@ -130,3 +132,15 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """``old`` with the rows of ``new`` put over those of equal key, and added where there are none."""
     both = old.withColumn("ord", F.lit(0)).unionByName(new.withColumn("ord", F.lit(1)))
     return last_wins(both, key).drop("ord")
+
+
+def numbered(rows: DataFrame, by: str, place: str = "place") -> DataFrame:
+    """``rows`` with ``place``: their number from 0 in the order of a column.
+
+    One sort over all partitions; then each row's number is the rows in the partitions before, and before it in its own.
+    """
+    ordered = storage.materialize(rows.orderBy(by).withColumn("part_", F.spark_partition_id()), "numbered")  # the partitions must be the same in both uses
+    sizes = ordered.groupBy("part_").count()
+    before = sizes.select("part_", (F.sum("count").over(Window.orderBy("part_")) - F.col("count")).alias("before_"))
+    inside = F.row_number().over(Window.partitionBy("part_").orderBy(by)) - 1
+    return ordered.withColumn("in_", inside).join(F.broadcast(before), "part_").withColumn(place, F.col("in_") + F.col("before_")).drop("part_", "in_", "before_")

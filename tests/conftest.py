@@ -20,7 +20,8 @@ def spark():
 
     conf = {
         "spark.master": "local[4]",
-        "spark.sql.shuffle.partitions": "3",
+        "spark.sql.shuffle.partitions": "2",
+        "spark.sql.codegen.wholeStage": "false",  # a thousand small plans: compiling them takes longer than running them
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.session.timeZone": "UTC",
