@@ -14,12 +14,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
 GOLDEN = U64(0x9E3779B97F4A7C15)
+#: Bytes of text that are worked on at a time, and words that a worker remembers (speed and memory only).
+PIECE = 4 << 20
+REMEMBERED = 150_000
+_MARKS = regex.compile(r"[^\p{L}\p{N}]")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,6 +108,8 @@ class Words:
     Splitting and dictionary encoding run in Arrow's C++ kernels; only the vocabulary is touched in Python.
     """
 
+    known: np.ndarray | None = None
+
     def __init__(self, text: pa.Array, lower: bool = True) -> None:
         text = text.cast(pa.large_string())
         if lower:
@@ -135,9 +142,44 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash for each entry of the vocabulary."""
+        if self.known is not None:
+            return self.known
         return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.vocab), U64, len(self.vocab))
 
 
+_normal: dict[str, tuple[str, int]] = {}
+
+
+def normal_words(text: pa.Array) -> Words:
+    """Words in lower case without marks; words of marks alone are no words. Forms and hashes are remembered."""
+    w, forms, hashes = Words(text), [], []
+    for v in w.vocab:
+        entry = _normal.get(v)
+        if entry is None:
+            form = _MARKS.sub("", v)
+            entry = (v if form == v else form, xxhash.xxh3_64_intdigest(form))
+            if len(_normal) < REMEMBERED and len(v) < 64:
+                _normal[v] = entry
+        forms.append(entry[0])
+        hashes.append(entry[1])
+    w.vocab, w.known = forms, np.asarray(hashes, U64)
+    w.drop([not f for f in forms])
+    return w
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = PIECE, rows: int = 60_000) -> Iterator[pa.RecordBatch]:
+    """The batches, cut where their texts have come to about ``size`` bytes; a longer text is whole all the same."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        share = total // size
+        starts = np.flatnonzero(np.r_[True, share[1:] != share[:-1]])
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
+            for at in range(a, b, rows):
+                yield batch.slice(at, min(rows, b - at))
+
+
 def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Polynomial hash of the ``n`` words that begin at each place (row bounds are the caller's)."""
     if len(h) < n:

@@ -22,14 +22,6 @@ _MARKS = regex.compile(r"[^\p{L}\p{N}]")
 _WORD = re.compile(r"\S+")
 
 
-def normalised(text: pa.Array) -> common.Words:
-    """Words in lower case without marks; words of marks alone are no words."""
-    w = common.Words(text)
-    w.vocab = [_MARKS.sub("", v) for v in w.vocab]
-    w.drop([not v for v in w.vocab])
-    return w
-
-
 def _hashes(w: common.Words) -> np.ndarray:
     return w.hashes()[w.codes] if len(w.codes) else np.zeros(0, np.uint64)
 
@@ -42,7 +34,7 @@ def benchmark_ngrams(benchmark: DataFrame, n: int = N) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w = normalised(batch.column("text"))
+            w = common.normal_words(batch.column("text"))
             h, out = _hashes(w), []
             for item, a, b in zip(batch.column("doc_id").to_pylist(), w.bounds[:-1].tolist(), w.bounds[1:].tolist()):
                 k = min(n, b - a)
@@ -68,7 +60,7 @@ class Hits:
 
     def find(self, text: pa.Array) -> tuple[common.Words, list[tuple]]:
         """(row, item_id, first word, last word + 1) of each verified window, in order."""
-        w = normalised(text)
+        w = common.normal_words(text)
         h, rows, out = _hashes(w), w.rows(), []
         for k, known in self.sizes.items():
             at = common.ngram_hashes(h, k)
@@ -132,7 +124,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, gap: i
     def finder(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hits = _finder(shared)
-            for batch in batches:
+            for batch in common.pieces(batches):
                 _, found = hits.find(batch.column("text"))
                 found = merged(found, gap) if len(sets) == 1 else found
                 rows = pa.array([f[0] for f in found], pa.int64())

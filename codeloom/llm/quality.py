@@ -18,10 +18,21 @@ ALPHA = 1.0
 KEEP_SHARE = 0.995
 
 
+_known: dict[str, int] = {}
+
+
+def _hash(word: str) -> int:
+    """The first four bytes of the MD5, remembered for the words that a worker meets first."""
+    h = int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big")
+    if len(_known) < common.REMEMBERED and len(word) < 64:
+        _known[word] = h
+    return h
+
+
 def buckets_of(text: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Bucket and row of every word and every pair of neighbouring words, as written (case and marks count)."""
     w = common.Words(text, lower=False)
-    h = np.fromiter((int.from_bytes(hashlib.md5(v.encode()).digest()[:4], "big") for v in w.vocab), np.uint64, len(w.vocab))
+    h = np.fromiter((_known.get(v) or _hash(v) for v in w.vocab), np.uint64, len(w.vocab))
     flat, rows = h[w.codes], w.rows()
     ok = common.window_ok(w.bounds, 2)
     with np.errstate(over="ignore"):
@@ -49,7 +60,7 @@ def count_ngrams(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-        for batch in batches:
+        for batch in common.pieces(batches):
             b, rows, n = buckets_of(batch.column("text"), buckets)
             raw += np.bincount(b, minlength=buckets)
             good = batch.column("trusted").to_numpy(zero_copy_only=False).astype(bool)

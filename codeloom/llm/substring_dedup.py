@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,14 +17,6 @@ MIN_WORDS = 50
 ANCHOR = 16
 #: Words that a shard's index holds at about most.
 SHARD_WORDS = 2_000_000
-_MARKS = regex.compile(r"[^\p{L}\p{N}]")
-
-
-def normalised(text: pa.Array) -> common.Words:
-    w = common.Words(text)
-    w.vocab = [_MARKS.sub("", v) for v in w.vocab]
-    w.drop([not v for v in w.vocab])
-    return w
 
 
 def _sliding(x: np.ndarray, n: int, pick) -> np.ndarray:
@@ -200,8 +191,8 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, anchor: int = ANC
     keyed = common.project(docs).withColumn("key", common.text_key(F.col("text"))).withColumn("d", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), "key"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            w = normalised(batch.column("text"))
+        for batch in common.pieces(batches):
+            w = common.normal_words(batch.column("text"))
             if not len(w.codes):
                 continue
             at, g = anchors(w.hashes()[w.codes], w.bounds, least, anchor)
@@ -230,8 +221,8 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, anchor: int = ANC
     texts = keyed.join(places, "d").select("d", "doc_id", "text", "places", "anchors")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            w = normalised(batch.column("text"))
+        for batch in common.pieces(batches):
+            w = common.normal_words(batch.column("text"))
             flat = (w.hashes() & np.uint64(0xFFFFFFFF)).astype(np.uint32)[w.codes] if len(w.codes) else np.zeros(0, np.uint32)
             lists = batch.column("places")
             at = np.asarray(lists.flatten()).astype(np.int64)
