@@ -400,3 +400,35 @@ def test_split_groups_verify_alike(spark):
         for a, b in got:
             mine = [min(mine[a], mine[b]) if r in (mine[a], mine[b]) else r for r in mine]
         assert mine == root
+
+
+def _edited(rng: random.Random, text: str, edits: int) -> str:
+    out = list(text)
+    for _ in range(edits):
+        at, letter = rng.randrange(len(out)), rng.choice("abcdefghijklmnopqrstuvwxyz")
+        out[at : at + 1] = rng.choice([[letter], [], [letter, out[at]]])
+    return "".join(out)
+
+
+@pytest.mark.parametrize("n", [10, 15, 19, 30, 39, 60, 79, 120, 160, 240, 319, 330, 700])
+def test_line_candidates_against_edit_similarity_alone(n):
+    """At every length nine of ten similar pairs share a mark, with one edit and with as many as may be."""
+    rng = random.Random(n)
+    for edits in (1, n // 10):
+        lines = ["".join(rng.choice("etaoinshrdlu ") for _ in range(n - 2)) + "zz" for _ in range(60)]
+        other = [_edited(rng, x, edits) for x in lines]
+        lens, bag, marks = line_dedup.line_marks([*lines, *other])
+        sets = [set(m) for m in marks.to_pylist()]
+        true = [i for i in range(60) if _distance(lines[i], other[i]) <= math.floor(max(len(lines[i]), len(other[i])) * 0.1 + 1e-9)]
+        for i in true:
+            more = np.maximum(bag[i], bag[60 + i])
+            assert max((more - bag[i]).sum(), (more - bag[60 + i]).sum()) <= max(lens[i], lens[60 + i]) // 10
+        assert len(true) >= 40 and sum(bool(sets[i] & sets[60 + i]) for i in true) >= 0.9 * len(true)
+
+
+def test_fuzzy_lines_go(spark):
+    """Changes that the words' signature does not bring together: one word of ten, one letter of a short line."""
+    long, short = prose(90, 10), "a short line here"
+    rows = [(1, long), (2, f"{prose(91, 9)}\n{long[:5]}Q{long[6:]}"), (3, short), (4, f"{prose(92, 9)}\na shart line here")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(table(spark, rows), marks=True).collect()}
+    assert got == {1: long, 2: prose(91, 9), 3: short, 4: prose(92, 9)}
