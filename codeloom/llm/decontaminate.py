@@ -16,7 +16,7 @@ from . import common
 N = 8
 #: Words between two hits of one item that still count as the same span (an edited word splits no passage).
 GAP = 4
-#: n-grams in one broadcast set, about 150 bytes each; a larger benchmark is scanned for set by set.
+#: n-grams in one broadcast set, about 150 bytes each; a larger benchmark has several, all asked in one pass.
 SET_SIZE = 400_000
 _MARKS = regex.compile(r"[^\p{L}\p{N}]")
 _WORD = re.compile(r"\S+")
@@ -117,43 +117,21 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, gap: i
     Nulls: a null text has no words; a null doc_id or item_id is kept as null. Documents shorter than ``n`` can
     only match items that short. Repeated rows give equal rows once each occurrence. Empty tables give none.
     """
-    schema = "doc_id bigint, row bigint, item_id bigint, first_word int, last_word int"
+    schema = "doc_id bigint, item_id bigint, first_word int, last_word int"
     source = common.project(docs)
     sets = _sets(benchmark, n, set_size)
 
-    def finder(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hits = _finder(shared)
-            for batch in common.pieces(batches):
-                _, found = hits.find(batch.column("text"))
-                found = merged(found, gap) if len(sets) == 1 else found
-                rows = pa.array([f[0] for f in found], pa.int64())
-                cols = [batch.column("doc_id").take(rows), batch.column("key").take(rows), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.int32())]
-                yield pa.record_batch(cols, names=["doc_id", "row", "item_id", "first_word", "last_word"])
-
-        return run
-
-    keyed = source.withColumn("key", common.text_key(F.col("text")))
-    parts = [keyed.mapInArrow(finder(s), schema) for s in sets]
-    if not parts:
-        found = keyed.where(F.lit(False)).select("doc_id", F.col("key").alias("row"), F.lit(None).cast("bigint").alias("item_id"), F.lit(0).alias("first_word"), F.lit(0).alias("last_word"))
-    elif len(parts) == 1:
-        found = parts[0]
-    else:  # windows of one passage can come from several sets: join them per document and item
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.union(p)
-
-        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t in common.groups(batches, "row"):
-                hits = [((r["doc_id"], r["row"]), r["item_id"], r["first_word"], r["last_word"]) for r in t.to_pylist()]
-                order = {k: i for i, k in enumerate(dict.fromkeys(h[0] for h in hits))}
-                back = list(order)
-                out = [(*back[r], i, a, b) for r, i, a, b in merged([(order[k], i, a, b) for k, i, a, b in hits], gap)]
-                cols = list(zip(*out))
-                yield pa.record_batch([pa.array(c, ty) for c, ty in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "row", "item_id", "first_word", "last_word"])
-
-        found = every.repartition("row").sortWithinPartitions("row").mapInArrow(join, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.pieces(batches):
+            found = []
+            for shared in sets:  # windows of one passage can come from several sets
+                found += _finder(shared).find(batch.column("text"))[1]
+            found = merged(found, gap)
+            rows = pa.array([f[0] for f in found], pa.int64())
+            cols = [batch.column("doc_id").take(rows), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.int32())]
+            yield pa.record_batch(cols, names=["doc_id", "item_id", "first_word", "last_word"])
+
+    found = source.mapInArrow(run, schema)
     return found.select("doc_id", "item_id", "first_word", (F.col("last_word") - 1).alias("last_word"), (F.col("last_word") - F.col("first_word")).alias("n_words"))
 
 
@@ -183,29 +161,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "spans",
         raise ValueError(remove)
     sets = _sets(benchmark, n, set_size)
 
-    def cleaner(shared):
-        @F.arrow_udf("string")
-        def clean(text: pa.Array) -> pa.Array:
-            hits, out = _finder(shared), text.to_pylist()
-            todo = [i for i, t in enumerate(out) if t]
-            while todo:
-                _, found = hits.find(pa.array([out[i] for i in todo], pa.string()))
-                by: dict[int, list] = {}
-                for row, _, a, b in merged([(r, 0, a, b) for r, _, a, b in merged(found, gap)], 0):
-                    by.setdefault(row, []).append((a, b))
-                for row, spans in by.items():
-                    out[todo[row]] = None if remove == "documents" else _cut(out[todo[row]], spans)
-                todo = [] if remove == "documents" else [todo[r] for r in by]
-            return pa.array(out, pa.string())
-
-        return clean
+    @F.arrow_udf("string")
+    def clean(text: pa.Array) -> pa.Array:
+        out = text.to_pylist()
+        todo = [i for i, t in enumerate(out) if t]
+        while todo:
+            now, found = pa.array([out[i] for i in todo], pa.string()), []
+            for shared in sets:  # the windows of all sets before anything is cut
+                found += _finder(shared).find(now)[1]
+            by: dict[int, list] = {}
+            for row, _, a, b in merged([(r, 0, a, b) for r, _, a, b in merged(found, gap)], 0):
+                by.setdefault(row, []).append((a, b))
+            for row, spans in by.items():
+                out[todo[row]] = None if remove == "documents" else _cut(out[todo[row]], spans)
+            todo = [] if remove == "documents" else [todo[r] for r in by]
+        return pa.array(out, pa.string())
 
     was, now = common.fresh(docs, "was_text", "now_text")
     out = docs.withColumn(was, F.col("text"))
-    cleaned = F.col("text")
-    for shared in sets:
-        cleaned = cleaner(shared)(cleaned)
-    out = out.withColumn(now, cleaned)
+    out = out.withColumn(now, clean(F.col("text")) if sets else F.col("text"))
     kept = out.where(F.col(was).isNull() | F.col(was).eqNullSafe(F.col(now)) | (F.trim(F.col(now)) != ""))
     cols = []
     for name in docs.columns:

@@ -180,6 +180,22 @@ def test_decontamination(spark):
     assert sorted(str(r["doc_id"]) for r in gone.collect()) == ["2", "5", "6"]
 
 
+def test_decontamination_in_several_sets(spark):
+    items = [(k, prose(300 + k, 30)) for k in range(12)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = [(k, t) for k, t in items] + [(20 + k, f"{prose(320 + k, 12)} {t} {prose(340 + k, 12)}") for k, t in items]
+    docs = table(spark, [*rows, rows[3], rows[15], rows[15]])
+
+    def both(run):
+        return [sorted(map(tuple, run(size).collect())) for size in (400_000, 5)]
+
+    one, many = both(lambda size: decontaminate.decontaminate(docs, bench, set_size=size))
+    assert one == many and min(r[0] for r in one) == 20 and len(one) == 14
+    assert all(r[1] == f"{prose(300 + r[0], 12)} {prose(320 + r[0], 12)}" for r in one)
+    one, many = both(lambda size: decontaminate.find_contamination(docs, bench, set_size=size))
+    assert one == many and len(one) == 27
+
+
 # 4: near duplicates
 
 
