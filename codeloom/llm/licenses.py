@@ -1,7 +1,8 @@
-"""6. License scans: templates as raw zstandard dictionaries, ranked by size reduction, confirmed by wording."""
+"""6. License scans: templates as raw zstandard dictionaries, confirmed by wording; size reduction settles ties."""
 
 from __future__ import annotations
 
+import collections
 import difflib
 import functools
 from collections.abc import Iterator
@@ -121,26 +122,74 @@ def wording(block: list[str], template: list[str]) -> tuple[int, int, list[str]]
     return len(template) - matched, len(added), [*(f"-{w}" for w in missing), *(f"+{w}" for w in added)]
 
 
-def identify(block: str, templates: tuple = TEMPLATES, tolerance: float = TOLERANCE) -> tuple:
-    """(license, wording, reduction, missing, added, exact, differences); license None if no wording is confirmed.
+def _common(have: collections.Counter, template: list[str]) -> int:
+    """Words of the template that the text has, in any order: no alignment matches more."""
+    return sum(min(have[w], n) for w, n in collections.Counter(template).items())
+
+
+def _span(have: list[str], template: list[str]) -> tuple[int, int]:
+    """The words of ``have`` (begin, end) that the best alignment with the template covers."""
+    runs = [m for m in difflib.SequenceMatcher(None, have, template, autojunk=False).get_matching_blocks() if m.size]
+    return (runs[0].a, runs[-1].a + runs[-1].size) if runs else (0, 0)
+
+
+def _places(have: list[str], template: list[str], tolerance: float) -> list[int]:
+    """Where the template may begin in ``have``: as its rarest words there say, each start once for some words around."""
+    at: dict[str, list[int]] = {}
+    for i, w in enumerate(have):
+        at.setdefault(w, []).append(i)
+    slack = max(1, int(tolerance * len(template)))
+    # with a share of words missing, some of any slack + 1 of them are still there
+    rare = sorted(range(len(template)), key=lambda k: len(at.get(template[k], ())))[: slack + 1]
+    starts = sorted({max(0, i - k) for k in rare for i in at.get(template[k], ())})
+    out: list[int] = []
+    for x in starts:
+        if not out or x > out[-1] + slack:
+            out.append(x)
+    return out
 
-    Every wording compresses the block as its raw dictionary. By falling reduction (then by order) a wording is
-    compared word by word; it is confirmed if at most ``tolerance`` of its words are missing and as many are
-    added, and no differing word names a license or a version.
+
+def notices(block: str, templates: tuple = TEMPLATES, tolerance: float = TOLERANCE) -> list[tuple]:
+    """All confirmed wordings of a text that do not overlap, each as (begin, end, what :func:`identify` gives).
+
+    A wording is compared around every place where it may begin, however long the text is. It is confirmed if at most
+    ``tolerance`` of its words are missing and as many are added, and no differing word names a license or a version; Where confirmed wordings overlap the one with more words matched stays,
+    then the one that compresses the stretch better.
     """
     plain, made = _tools(templates)
-    raw = block.encode()
-    size = len(plain.compress(raw))
-    ranked = sorted(((size - len(t[3].compress(raw)), -len(t[2]), -k) for k, t in enumerate(made)), reverse=True)
-    have = words(block)
-    for saved, _, k in ranked:
-        if saved <= 0:
-            break
-        name, i, template, _ = made[-k]
-        missing, added, differ = wording(have, template)
-        if missing <= tolerance * len(template) and added <= tolerance * len(template) and not NAMES & {d[1:] for d in differ}:
-            return name, i, saved, missing, added, not differ, " ".join(differ)
-    return None, None, ranked[0][0] if ranked else 0, None, None, False, None
+    every, found = list(_WORD.finditer(block)), []
+    for tokens in (every,):
+        have = [m.group().lower() for m in tokens]
+        counts = collections.Counter(have)
+        for k, (name, i, template, packer) in enumerate(made):
+            if not template or _common(counts, template) < (1 - tolerance) * len(template):
+                continue
+            slack = int(tolerance * len(template)) + 1
+            for x in _places(have, template, tolerance):
+                a, b = max(0, x - slack), min(len(have), x + len(template) + 3 * slack)
+                part = have[a:b]
+                if _common(collections.Counter(part), template) < (1 - tolerance) * len(template):
+                    continue
+                begin, end = _span(part, template)
+                missing, added, differ = wording(part, template)
+                if missing <= tolerance * len(template) and added <= tolerance * len(template) and not NAMES & {d[1:] for d in differ}:
+                    first, last = tokens[a + begin].start(), tokens[a + end - 1].end()
+                    raw = block[first:last].encode()
+                    saved = len(plain.compress(raw)) - len(packer.compress(raw))
+                    found.append((missing - len(template), added, first, -saved, k, last, (name, i, saved, missing, added, not differ, " ".join(differ))))
+    out: list[tuple] = []
+    for *_, first, _, _, last, what in sorted(found, key=lambda f: f[:6]):
+        if all(last <= x or first >= y for x, y, _ in out):
+            out.append((first, last, what))
+    return sorted(out)
+
+
+def identify(block: str, templates: tuple = TEMPLATES, tolerance: float = TOLERANCE) -> tuple:
+    """(license, wording, reduction, missing, added, exact, differences) of the first of the longest :func:`notices`; license None if there is none."""
+    found = notices(block, templates, tolerance)
+    if found:
+        return max(found, key=lambda f: (f[1] - f[0], -f[0]))[2]
+    return None, None, 0, None, None, False, None
 
 
 def scan(docs: DataFrame, templates: tuple = TEMPLATES, cues: str = CUES, bridge: int = BRIDGE, tolerance: float = TOLERANCE) -> DataFrame:

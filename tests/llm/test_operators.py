@@ -285,6 +285,18 @@ def test_license_scan(spark):
             assert licenses.identify(wording)[0] == name
 
 
+def _licenses(text: str) -> list:
+    return sorted({f[2][0] for f in licenses.notices(text)})
+
+
+def test_license_in_long_lines():
+    """A notice within a line of any length: the whole compresses worse with a short dictionary than without."""
+    for n in (500, 1000, 20_000):
+        for name, wordings in licenses.TEMPLATES:
+            for wording in (wordings[0], wordings[-1]):
+                assert _licenses(f"{prose(n, n // 2)} {wording} {prose(n + 1, n // 2)}") == [name]
+
+
 # 7: repeated passages
 
 
