@@ -90,6 +90,8 @@ TEMPLATES: tuple[tuple[str, tuple[str, ...]], ...] = (
 #: Words that name a license: none of them may differ from the template.
 NAMES = frozenset("mit apache gnu general lesser affero gpl lgpl agpl bsd isc mozilla mpl unlicense cc0 cc by sa nc nd attribution sharealike noncommercial noderivatives creative commons public domain version v 1 2 3 4 0 clause".split())
 _WORD = regex.compile(r"[\p{L}]+|\p{N}+")
+_BEFORE = regex.compile(r"(?:^|\n|[.:;]\s)[\s*#/;>-]*\(?$")
+_AFTER = regex.compile(r"[.)]\s")
 SCHEMA = "doc_id bigint, first_line int, last_line int, license string, template int, reduction int, missing int, added int, exact boolean, differences string"
 
 
@@ -153,12 +155,14 @@ def notices(block: str, templates: tuple = TEMPLATES, tolerance: float = TOLERAN
     """All confirmed wordings of a text that do not overlap, each as (begin, end, what :func:`identify` gives).
 
     A wording is compared around every place where it may begin, however long the text is. It is confirmed if at most
-    ``tolerance`` of its words are missing and as many are added, and no differing word names a license or a version; Where confirmed wordings overlap the one with more words matched stays,
+    ``tolerance`` of its words are missing and as many are added, and no differing word names a license or a version;
+    numbers that count clauses may be left out. Where confirmed wordings overlap the one with more words matched stays,
     then the one that compresses the stretch better.
     """
     plain, made = _tools(templates)
     every, found = list(_WORD.finditer(block)), []
-    for tokens in (every,):
+    plainer = [m for m in every if not _clause(block, m)]
+    for tokens in (every, plainer) if len(plainer) < len(every) else (every,):
         have = [m.group().lower() for m in tokens]
         counts = collections.Counter(have)
         for k, (name, i, template, packer) in enumerate(made):
@@ -184,6 +188,11 @@ def notices(block: str, templates: tuple = TEMPLATES, tolerance: float = TOLERAN
     return sorted(out)
 
 
+def _clause(text: str, m: regex.Match) -> bool:
+    """Whether a number begins a line or sentence and a mark and space follow it: "1. " or "(2) "."""
+    return m.end() - m.start() < 3 and m.group().isdigit() and bool(_AFTER.match(text, m.end())) and bool(_BEFORE.search(text[max(0, m.start() - 80) : m.start()]))
+
+
 def identify(block: str, templates: tuple = TEMPLATES, tolerance: float = TOLERANCE) -> tuple:
     """(license, wording, reduction, missing, added, exact, differences) of the first of the longest :func:`notices`; license None if there is none."""
     found = notices(block, templates, tolerance)
@@ -193,14 +202,43 @@ def identify(block: str, templates: tuple = TEMPLATES, tolerance: float = TOLERA
 
 
 def scan(docs: DataFrame, templates: tuple = TEMPLATES, cues: str = CUES, bridge: int = BRIDGE, tolerance: float = TOLERANCE) -> DataFrame:
-    """One row for every block of lines with a license cue: where it is, and which license it states.
+    """One row for the longest wording around each block of lines with cues, with the lines of its wording.
 
     A block runs from one line with a cue to the last that follows with at most ``bridge - 1`` other lines in
-    between. ``license`` is null where no wording is confirmed (a copyright line, an unknown license). Every line
-    of every text is looked at. No shuffle.
+    between. Wordings are looked for in the lines around it too, as many words as the longest has. A block without a
+    confirmed wording (a copyright line, an unknown license) and without a part in a block's wording before it has one
+    row with ``license`` null and its own lines. Every line of every text is looked at. No shuffle.
 
     Nulls: a null or empty text has no blocks; a null doc_id is kept. Repeated rows give repeated results.
     """
+    reach = 2 * max((len(words(x)) for _, wordings in templates for x in wordings), default=0)
+
+    def of(lines: list[str], blocks: list[tuple[int, int]]) -> list[tuple]:
+        size = [len(_WORD.findall(x)) for x in lines]
+        areas: list[list] = []  # first line, last line, its blocks
+        for first, last in blocks:
+            a, b = first, last
+            room = reach
+            while a and room > 0:
+                a -= 1
+                room -= size[a]
+            room = reach
+            while b + 1 < len(lines) and room > 0:
+                b += 1
+                room -= size[b]
+            if areas and a <= areas[-1][1]:
+                areas[-1][1] = max(areas[-1][1], b)
+                areas[-1][2].append((first, last))
+            else:
+                areas.append([a, b, [(first, last)]])
+        out = []
+        for a, b, mine in areas:
+            text, stated = "\n".join(lines[a : b + 1]), []
+            for begin, end, what in sorted(notices(text, templates, tolerance), key=lambda f: f[0] - f[1])[:1]:
+                stated.append((a + text.count("\n", 0, begin), a + text.count("\n", 0, end), *what))
+            none = [(x, y, None, None, 0, None, None, False, None) for x, y in mine if not any(f[0] <= y and f[1] >= x for f in stated)]
+            out += sorted(stated + none, key=lambda f: f[:2])
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,13 +250,12 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, cues: str = CUES, bridge
             lines = parts.values
             cue = np.flatnonzero(pc.match_substring_regex(lines, cues).to_numpy(zero_copy_only=False)) if len(lines) else np.zeros(0, np.int64)
             row = np.searchsorted(off, cue, side="right") - 1
-            cuts = np.flatnonzero(np.r_[True, (np.diff(cue) > bridge) | (np.diff(row) > 0)]) if len(cue) else np.zeros(0, np.int64)
             ids = batch.column("doc_id").take(pa.array(hits)).to_pylist()
-            for k, a in enumerate(cuts.tolist()):
-                b = (cuts[k + 1] if k + 1 < len(cuts) else len(cue)) - 1
-                first, last, r = int(cue[a]), int(cue[b]), int(row[a])
-                block = "\n".join(lines.slice(first, last - first + 1).to_pylist())
-                out.append((ids[r], first - int(off[r]), last - int(off[r]), *identify(block, templates, tolerance)))
+            for r in np.unique(row).tolist():
+                at = cue[row == r] - off[r]
+                cuts = np.flatnonzero(np.r_[True, np.diff(at) > bridge])
+                blocks = list(zip(at[cuts].tolist(), at[np.r_[cuts[1:], len(at)] - 1].tolist()))
+                out += [(ids[r], *f) for f in of(lines.slice(off[r], off[r + 1] - off[r]).to_pylist(), blocks)]
             cols = list(zip(*out)) if out else [[]] * 10
             types = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "first_line", "last_line", "license", "template", "reduction", "missing", "added", "exact", "differences"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import textwrap
 import uuid
 
 import numpy as np
@@ -297,6 +298,20 @@ def test_license_in_long_lines():
                 assert _licenses(f"{prose(n, n // 2)} {wording} {prose(n + 1, n // 2)}") == [name]
 
 
+def test_license_texts_in_lines(spark):
+    clauses = dict(licenses.TEMPLATES)["BSD-3-Clause"][2]
+    for k, mark in ((1, "Redistributions of source"), (2, "Redistributions in binary"), (3, "Neither the name")):
+        clauses = clauses.replace(mark, f"\n\n{k}. {mark}")
+    rows = [(k, "\n".join(textwrap.wrap(dict(licenses.TEMPLATES)[name][3], width))) for k, (name, width) in enumerate([("MIT", 78), ("MIT", 40), ("GPL-3.0", 70), ("Apache-2.0", 30)])]
+    rows.append((4, "\n".join(x for part in clauses.split("\n") for x in (textwrap.wrap(part, 76) or [""]))))
+    assert _licenses(" ".join(clauses.split())) == ["BSD-3-Clause"]
+    assert _licenses("This work is licensed under the GNU General Public License, version\n3. ") == ["GPL-3.0"]
+    rows = [(k, f"{prose(k, 9)}\n\n{t}\n\n{prose(k + 50, 9)}") for k, t in rows]
+    got = {(r["doc_id"], r["license"], r["first_line"], r["last_line"]) for r in licenses.scan(table(spark, rows)).collect()}
+    names = ["MIT", "MIT", "GPL-3.0", "Apache-2.0", "BSD-3-Clause"]
+    assert got == {(k, names[k], 2, len(t.split("\n")) - 3) for k, t in rows}
+
+
 # 7: repeated passages
 
 
