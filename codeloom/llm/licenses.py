@@ -202,7 +202,7 @@ def identify(block: str, templates: tuple = TEMPLATES, tolerance: float = TOLERA
 
 
 def scan(docs: DataFrame, templates: tuple = TEMPLATES, cues: str = CUES, bridge: int = BRIDGE, tolerance: float = TOLERANCE) -> DataFrame:
-    """One row for the longest wording around each block of lines with cues, with the lines of its wording.
+    """One row for every license that a block of lines with cues states, with the lines of its wording.
 
     A block runs from one line with a cue to the last that follows with at most ``bridge - 1`` other lines in
     between. Wordings are looked for in the lines around it too, as many words as the longest has. A block without a
@@ -234,7 +234,7 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, cues: str = CUES, bridge
         out = []
         for a, b, mine in areas:
             text, stated = "\n".join(lines[a : b + 1]), []
-            for begin, end, what in sorted(notices(text, templates, tolerance), key=lambda f: f[0] - f[1])[:1]:
+            for begin, end, what in notices(text, templates, tolerance):
                 stated.append((a + text.count("\n", 0, begin), a + text.count("\n", 0, end), *what))
             none = [(x, y, None, None, 0, None, None, False, None) for x, y in mine if not any(f[0] <= y and f[1] >= x for f in stated)]
             out += sorted(stated + none, key=lambda f: f[:2])

@@ -312,6 +312,12 @@ def test_license_texts_in_lines(spark):
     assert got == {(k, names[k], 2, len(t.split("\n")) - 3) for k, t in rows}
 
 
+def test_every_license_of_a_block(spark):
+    rows = [(1, "Licensed under the MIT License.\nor\nLicensed under the Apache License, Version 2.0."), (2, "Released under the MIT License. Released under the ISC License.")]
+    got = sorted((r["doc_id"], r["first_line"], r["last_line"], r["license"]) for r in licenses.scan(table(spark, rows)).collect())
+    assert got == [(1, 0, 0, "MIT"), (1, 2, 2, "Apache-2.0"), (2, 0, 0, "ISC"), (2, 0, 0, "MIT")]
+
+
 # 7: repeated passages
 
 
