@@ -280,10 +280,12 @@ def test_read_files_and_cli(spark, tmp_path, capsys):
         target.write_text(text)
     (tmp_path / "shop/bin.dat").write_bytes(b"a\x00b")
     (tmp_path / "shop/latin.txt").write_bytes("é".encode("latin-1"))
+    (tmp_path / "shop/.env").write_text("A=1\n")
+    (tmp_path / "shop/src/_own part.py").write_text("x = 1\n")
     (tmp_path / "shop/node_modules").mkdir()
     (tmp_path / "shop/node_modules/x.js").write_text("x")
     got = {r["path"]: r["content"] for r in file_source.read_files(spark, str(tmp_path / "shop")).collect()}
-    assert set(got) == {p for p, _ in FILES} | {"bin.dat", "latin.txt"} and got["bin.dat"] is None and got["latin.txt"] == "é"
+    assert set(got) == {p for p, _ in FILES} | {"bin.dat", "latin.txt", ".env", "src/_own part.py"} and got["bin.dat"] is None and got["latin.txt"] == "é"
     assert file_source.git_commit(str(tmp_path)) == "unknown"
     cli.main(["build", "-p", str(tmp_path)])
     cli.main(["query", "HELP", "-p", str(tmp_path / "shop")])
