@@ -43,15 +43,16 @@ class Passages:
 
     def __init__(self, text: pa.Array, size: int = PASSAGE) -> None:
         w = common.Words(text, lower=False)
-        self.word = np.fromiter((xxhash.xxh3_64_intdigest(_MARKS.sub("", v.lower()) or v) % WORDS for v in w.vocab), np.int64, len(w.vocab))
-        self.shape = np.fromiter((xxhash.xxh3_64_intdigest(shape(v)) % SHAPES for v in w.vocab), np.int64, len(w.vocab))
+        vocab = w.vocab
+        self.word = np.fromiter((xxhash.xxh3_64_intdigest(_MARKS.sub("", v.lower()) or v) % WORDS for v in vocab), np.int64, len(vocab))
+        self.shape = np.fromiter((xxhash.xxh3_64_intdigest(shape(v)) % SHAPES for v in vocab), np.int64, len(vocab))
         self.codes = w.codes
         counts = -(-w.lens // size)
         self.docs = np.concatenate([[0], np.cumsum(counts)])
         starts = np.repeat(w.starts, counts) + common.ragged(np.zeros(len(counts), np.int64), counts) * size
         self.starts = starts
         self.lens = np.minimum(starts + size, np.repeat(w.bounds[1:], counts)) - starts
-        self.extra = self._extra(w.vocab)
+        self.extra = self._extra(vocab)
 
     def _extra(self, vocab: list[str]) -> np.ndarray:
         """Share of distinct words, of repeats of the word before, and mean word length of each passage."""
@@ -213,20 +214,19 @@ def classify(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
 
     Every passage of every text is encoded and weighted; ``keep`` is quality >= cut and toxic < cut.
     A null, empty or blank text has null scores and is not kept. A model without training labels gives null
-    scores and keeps every text with words. A null doc_id is kept; repeated rows are scored alike. No shuffle.
+    scores and keeps every text with words. A null doc_id is kept; repeated rows are scored alike. An empty table gives
+    no rows. Every passage of a very long text counts; it costs its own size in memory. No shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                prob, real = shared.value.predict(part.column("text"))
-                known = real & shared.value.trained
-                keep = np.where(known, (prob[:, 0] >= cut) & (prob[:, 1] < cut), real & ~np.bool_(shared.value.trained))
-                yield pa.record_batch([part.column("doc_id"), *(pa.array(np.round(prob[:, k], 6), pa.float64(), mask=~known) for k in range(2)), pa.array(keep.astype(bool))], names=["doc_id", "quality", "toxic", "keep"])
-
-    return common.project(docs).mapInArrow(run, "doc_id bigint, quality double, toxic double, keep boolean")
+        for part in common.pieces(batches):
+            prob, real = shared.value.predict(part.column("text"))
+            known = real & shared.value.trained
+            keep = np.where(known, (prob[:, 0] >= cut) & (prob[:, 1] < cut), real & ~np.bool_(shared.value.trained))
+            yield pa.record_batch([part.column("doc_id"), *(pa.array(np.round(prob[:, k], 6), pa.float64(), mask=~known) for k in range(2)), pa.array(keep.astype(bool))], names=["doc_id", "quality", "toxic", "keep"])
+
+    return common.mapped(common.project(docs), run, "doc_id bigint, quality double, toxic double, keep boolean")
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ any name cannot clash with internal ones.  A null text counts as the empty text.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,17 +15,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
 GOLDEN = U64(0x9E3779B97F4A7C15)
 #: Bytes of text that are worked on at a time, and words that a worker remembers (speed and memory only).
-PIECE = 4 << 20
-REMEMBERED = 150_000
-_MARKS = regex.compile(r"[^\p{L}\p{N}]")
+PIECE = 1 << 20
+REMEMBERED = 100_000
+_MARKS = r"[^\p{L}\p{N}]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +51,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; one of our own only where the session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="codeloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -101,15 +102,33 @@ def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
         return z ^ (z >> U64(31))
 
 
+_BYTE = mix(np.arange(256, dtype=np.uint64), 11)
+_PLACE = mix(np.arange(1 << 12, dtype=np.uint64), 13) | U64(1)
+
+
+def string_hashes(s: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string (large strings): a sum over its bytes of random numbers by byte times place."""
+    if not len(s):
+        return np.zeros(0, U64)
+    off = np.frombuffer(s.buffers()[1], np.int64, len(s) + 1, s.offset * 8)
+    lens = np.diff(off)
+    place = ragged(np.zeros(len(s), np.int64), lens)
+    by = _PLACE[place] if lens.max() <= len(_PLACE) else mix(place.astype(np.uint64), 13) | U64(1)
+    run = np.zeros(len(place) + 1, np.uint64)
+    if len(place):
+        with np.errstate(over="ignore"):
+            np.cumsum(_BYTE[np.frombuffer(s.buffers()[2], np.uint8, len(place), off[0])] * by, out=run[1:])
+    off = off - off[0]
+    return mix((run[off[1:]] - run[off[:-1]]) ^ lens.astype(np.uint64))
+
+
 class Words:
     """The words of a batch of texts: a small vocabulary, and a code for each word in order.
 
-    ``codes`` are positions in ``vocab`` (a list of str); ``starts``/``lens`` are the slice of each row.
-    Splitting and dictionary encoding run in Arrow's C++ kernels; only the vocabulary is touched in Python.
+    ``codes`` are positions in ``dictionary`` (large strings; ``vocab`` has them as a list of str); ``bounds`` has the
+    slice of each row. Splitting, encoding, normalising and hashing run in Arrow's and numpy's kernels.
     """
 
-    known: np.ndarray | None = None
-
     def __init__(self, text: pa.Array, lower: bool = True) -> None:
         text = text.cast(pa.large_string())
         if lower:
@@ -117,18 +136,36 @@ class Words:
         parts = pc.utf8_split_whitespace(text)
         offsets = np.asarray(parts.offsets)
         flat = pc.dictionary_encode(parts.values.slice(offsets[0], offsets[-1] - offsets[0]))
-        self.vocab: list[str] = flat.dictionary.to_pylist()
+        self.dictionary = flat.dictionary
         self.codes = np.asarray(flat.indices)
         self.bounds = (offsets - offsets[0]).astype(np.int64)
-        self.drop([not w for w in self.vocab])  # leading and trailing space leaves empty words
+        self._drop_empty()  # leading and trailing space leaves empty words
 
-    def drop(self, gone: list[bool] | np.ndarray) -> None:
-        gone = np.asarray(gone, bool)
-        if gone.size and gone.any():
+    def _drop_empty(self) -> None:
+        gone = pc.binary_length(self.dictionary).to_numpy(zero_copy_only=False) == 0
+        if gone.any():
             keep = ~gone[self.codes]
             self.bounds = np.concatenate([[0], np.cumsum(keep)])[self.bounds]
             self.codes = self.codes[keep]
 
+    def normalise(self) -> None:
+        """Take all but letters and numbers out of the words; what is empty then is no word."""
+        odd = np.flatnonzero(~pc.utf8_is_alnum(self.dictionary).to_numpy(zero_copy_only=False))
+        if len(odd):
+            forms = pc.replace_substring_regex(self.dictionary.take(pa.array(odd)), _MARKS, "")
+            place = np.arange(len(self.dictionary))
+            place[odd] = len(place) + np.arange(len(odd))
+            self.dictionary = pa.concat_arrays([self.dictionary, forms]).take(pa.array(place))
+            self._drop_empty()
+
+    @property
+    def vocab(self) -> list[str]:
+        return self.dictionary.to_pylist()
+
+    def phrase(self, begin: int, end: int) -> str:
+        """The words from one place to another, a space between."""
+        return " ".join(self.dictionary[int(c)].as_py() for c in self.codes[begin:end])
+
     @property
     def starts(self) -> np.ndarray:
         return self.bounds[:-1]
@@ -142,31 +179,41 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash for each entry of the vocabulary."""
-        if self.known is not None:
-            return self.known
-        return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.vocab), U64, len(self.vocab))
-
-
-_normal: dict[str, tuple[str, int]] = {}
+        return string_hashes(self.dictionary)
 
 
 def normal_words(text: pa.Array) -> Words:
-    """Words in lower case without marks; words of marks alone are no words. Forms and hashes are remembered."""
-    w, forms, hashes = Words(text), [], []
-    for v in w.vocab:
-        entry = _normal.get(v)
-        if entry is None:
-            form = _MARKS.sub("", v)
-            entry = (v if form == v else form, xxhash.xxh3_64_intdigest(form))
-            if len(_normal) < REMEMBERED and len(v) < 64:
-                _normal[v] = entry
-        forms.append(entry[0])
-        hashes.append(entry[1])
-    w.vocab, w.known = forms, np.asarray(hashes, U64)
-    w.drop([not f for f in forms])
+    """Words in lower case without marks; words of marks alone are no words."""
+    w = Words(text)
+    w.normalise()
     return w
 
 
+def rest() -> None:
+    """Give memory that a task no longer uses back to the system: idle workers stay beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow``, after which the worker's memory is tidied."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        rest()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def in_pieces(text: pa.Array, of: Callable[[pa.Array], pa.Array]) -> pa.Array:
+    """``of`` the texts of a batch, taken in pieces of about :data:`PIECE` bytes."""
+    made = [of(b.column(0)) for b in pieces(iter([pa.record_batch([text], names=["text"])]))]
+    return pa.concat_arrays(made) if made else of(text)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = PIECE, rows: int = 60_000) -> Iterator[pa.RecordBatch]:
     """The batches, cut where their texts have come to about ``size`` bytes; a longer text is whole all the same."""
     for batch in batches:
@@ -222,10 +269,6 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(ends - lens - starts, lens)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables of equal ``key`` from batches that are sorted by it. One group is in memory at a time."""
     held: list[pa.Table] = []
@@ -246,5 +289,9 @@ def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 
 def small(df: DataFrame, row_bytes: int, limit: int = 64 << 20) -> DataFrame:
-    """``df`` marked for broadcast if its rows come to at most ``limit`` bytes; else as it is, to be shuffled."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    """``df`` marked for broadcast if its rows, of ``row_bytes`` at most, come to ``limit`` bytes; else to be shuffled.
+
+    The count stops as soon as the limit is passed.
+    """
+    most = limit // row_bytes
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -241,7 +241,7 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, cues: str = CUES, bridge
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.pieces(batches):
             text, out = batch.column("text"), []
             hits = np.flatnonzero(pc.match_substring_regex(text, cues).to_numpy(zero_copy_only=False))
             taken = text.take(pa.array(hits))
@@ -260,7 +260,7 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, cues: str = CUES, bridge
             types = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "first_line", "last_line", "license", "template", "reduction", "missing", "added", "exact", "differences"])
 
-    return common.project(docs).mapInArrow(run, SCHEMA)
+    return common.mapped(common.project(docs), run, SCHEMA)
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -170,7 +170,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, nodes: i
     bin is. No shuffle: bins never cross tasks, which costs at most one part-filled block a task.
 
     Nulls: a null or empty text has no tokens and one row with piece 0, ``n_tokens`` 0 and no bin.
-    A null doc_id is packed like any other; repeated rows are packed as often as they occur.
+    A null doc_id is packed like any other; repeated rows are packed as often as they occur. Pieces of equal size stay
+    in their order. An empty table gives no rows. A very long text has many full pieces, and costs its own size in memory.
     """
 
     def emit(ids: list, rows: list[tuple]) -> pa.RecordBatch:
@@ -193,7 +194,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, nodes: i
                     at += pieces[i][3]
             return rows
 
-        for batch in batches:
+        for batch in common.pieces(batches):
             rows: list[tuple] = []
             for doc, n in zip(batch.column("doc_id").to_pylist(), tokenizer.token_counts(batch.column("text"), vocab).tolist()):
                 if not n:
@@ -210,7 +211,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, nodes: i
         if held:
             yield emit([], packed(held))
 
-    return common.project(docs).mapInArrow(run, SCHEMA)
+    return common.mapped(common.project(docs), run, SCHEMA)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

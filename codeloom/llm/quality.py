@@ -32,7 +32,7 @@ def _hash(word: str) -> int:
 def buckets_of(text: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Bucket and row of every word and every pair of neighbouring words, as written (case and marks count)."""
     w = common.Words(text, lower=False)
-    h = np.fromiter((_known.get(v) or _hash(v) for v in w.vocab), np.uint64, len(w.vocab))
+    h = np.fromiter((_known.get(v) or _hash(v) for v in w.vocab), np.uint64, len(w.dictionary))
     flat, rows = h[w.codes], w.rows()
     ok = common.window_ok(w.bounds, 2)
     with np.errstate(over="ignore"):
@@ -71,7 +71,7 @@ def count_ngrams(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
             part = at[k : k + 100_000]
             yield pa.record_batch([pa.array(part.astype(np.int32)), pa.array(raw[part]), pa.array(target[part])], names=["bucket", "raw", "target"])
 
-    return flagged.mapInArrow(run, "bucket int, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    return common.mapped(flagged, run, "bucket int, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, alpha: float = ALPHA) -> np.ndarray:
@@ -87,13 +87,16 @@ def scorer(spark: SparkSession, model: np.ndarray):
     """Arrow UDF: mean log ratio of a text's n-grams; null for a text without words."""
     shared, buckets = spark.sparkContext.broadcast(model), len(model)
 
-    @F.arrow_udf("double")
-    def score(text: pa.Array) -> pa.Array:
+    def means(text: pa.Array) -> pa.Array:
         b, rows, n = buckets_of(text, buckets)
         size = np.bincount(rows, minlength=n)
         total = np.bincount(rows, weights=shared.value[b], minlength=n)
         return pa.array(total / np.maximum(size, 1), pa.float64(), mask=size == 0)
 
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        return common.in_pieces(text, means)
+
     return score
 
 
@@ -121,7 +124,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, keep_share: float = KEEP
     ratios come from smoothing alone and everything with words is kept.
 
     Nulls: a null, empty or blank text has a null score and is not kept. Null doc_ids are never trusted but are
-    scored. Repeated rows count and are scored as often as they occur. Empty tables give empty results.
+    scored. Repeated rows count and are scored as often as they occur. Empty tables give empty results. A very long
+    text costs its own size in memory; others are taken together up to ``common.PIECE`` bytes.
     """
     score = scorer(docs.sparkSession, fit(docs, labels, buckets, alpha))
     cut = threshold(docs, labels, score, keep_share)
@@ -129,7 +133,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, keep_share: float = KEEP
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, keep_share: float = KEEP_SHARE, buckets: int = BUCKETS, alpha: float = ALPHA) -> DataFrame:
-    """The rows of ``docs``, all columns, that :func:`score_documents` keeps."""
+    """The rows of ``docs``, all columns, that :func:`score_documents` keeps; repeated rows stay or go together.
+
+    Null, empty and blank texts go; null doc_ids are scored like others; empty tables give empty results.
+    """
     score = scorer(docs.sparkSession, fit(docs, labels, buckets, alpha))
     cut = threshold(docs, labels, score, keep_share)
     return docs.where(~_rejects(F.round(score(F.coalesce(F.col("text").cast("string"), F.lit(""))), 6), cut))

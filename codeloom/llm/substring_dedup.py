@@ -199,7 +199,7 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, anchor: int = ANC
             rows = np.searchsorted(w.bounds, at, side="right") - 1
             yield pa.record_batch([pa.array(g.view(np.int64)), batch.column("d").take(pa.array(rows)), pa.array((at - w.bounds[rows]).astype(np.int32))], names=["anchor", "d", "place"])
 
-    found = keyed.select("d", "text").mapInArrow(find, "anchor bigint, d bigint, place int")
+    found = common.mapped(keyed.select("d", "text"), find, "anchor bigint, d bigint, place int")
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -214,7 +214,7 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, anchor: int = ANC
         keep = order[np.repeat(several, np.diff(np.r_[cuts, len(a)]))]
         yield from t.take(pa.array(keep)).combine_chunks().to_batches(max_chunksize=100_000)
 
-    several = found.repartition("anchor").mapInArrow(shared, "anchor bigint, d bigint, place int")
+    several = common.mapped(found.repartition("anchor"), shared, "anchor bigint, d bigint, place int")
     places = common.materialize(several.distinct().groupBy("d").agg(F.collect_list("place").alias("places"), F.collect_list("anchor").alias("anchors")), "anchors")
     n = places.agg(F.sum(F.size("places"))).first()[0] or 0
     shards = max(12, -(-n * (2 * least - anchor) // shard_words))
@@ -244,7 +244,7 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, anchor: int = ANC
                     names=["shard", "d", "doc_id", "begin", "mark", "words"],
                 )
 
-    pieces = texts.mapInArrow(cut, "shard int, d bigint, doc_id bigint, begin int, mark int, words binary")
+    pieces = common.mapped(texts, cut, "shard int, d bigint, doc_id bigint, begin int, mark int, words binary")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in common.groups(batches, "shard"):
@@ -270,7 +270,7 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, anchor: int = ANC
             take = pa.array(rows[ok])
             yield pa.record_batch([pa.array(d[rows[ok]]), t.column("doc_id").combine_chunks().take(take) if t.num_rows else pa.array([], pa.int64()), pa.array(a[ok].astype(np.int32)), pa.array(b[ok].astype(np.int32))], names=["d", "doc_id", "a", "b"])
 
-    hits = pieces.repartition("shard").sortWithinPartitions("shard").mapInArrow(search, "d bigint, doc_id bigint, a int, b int").distinct()
+    hits = common.mapped(pieces.repartition("shard").sortWithinPartitions("shard"), search, "d bigint, doc_id bigint, a int, b int").distinct()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in common.groups(batches, "d"):
@@ -282,7 +282,7 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, anchor: int = ANC
             doc = t.column("doc_id")[0].as_py()
             yield pa.record_batch([pa.array([doc] * len(first), pa.int64()), pa.array(a[first]), pa.array((top[last] - 1).astype(np.int32)), pa.array((top[last] - a[first]).astype(np.int32))], names=["doc_id", "first_word", "last_word", "n_words"])
 
-    return hits.repartition("d").sortWithinPartitions("d", "a").mapInArrow(merge, "doc_id bigint, first_word int, last_word int, n_words int")
+    return common.mapped(hits.repartition("d").sortWithinPartitions("d", "a"), merge, "doc_id bigint, first_word int, last_word int, n_words int")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

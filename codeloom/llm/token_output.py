@@ -18,6 +18,8 @@ from . import common, tokenizer
 SEQ_LEN = 2048
 ROWS_PER_BATCH = 256
 EOS = 50256
+#: Folder of the table of files, below the one that they are in.
+MANIFEST = "_files"
 SCHEMA = "doc_id bigint, file string, first_sequence bigint, first_offset int, n_tokens bigint"
 
 
@@ -26,7 +28,7 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def _schema(kind: np.dtype, seq_len: int) -> pa.Schema:
-    return pa.schema([("input_ids", pa.list_(pa.from_numpy_dtype(kind), seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
+    return pa.schema([("input_ids", pa.list_(pa.from_numpy_dtype(kind), seq_len)), ("mask", pa.list_(pa.uint8(), seq_len))])
 
 
 class _Writer:
@@ -53,7 +55,7 @@ class _Writer:
             self.held, self.n_held = [flat[whole:]], len(flat) - whole
 
     def _batch(self, flat: np.ndarray, real: int) -> None:
-        mask = pa.array(np.arange(len(flat)) < real)
+        mask = pa.array((np.arange(len(flat)) < real).view(np.uint8))
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(flat), self.seq_len), pa.FixedSizeListArray.from_arrays(mask, self.seq_len)]
         self.out.write_batch(pa.record_batch(lists, schema=self.schema))
 
@@ -70,13 +72,14 @@ def write_sequences(docs: DataFrame, folder: str, seq_len: int = SEQ_LEN, vocab:
     """Tokenise every document into Arrow IPC files below ``folder``; return where each document begins.
 
     Each task writes one file: its documents' tokens, each followed by ``eos``, cut into sequences of
-    ``seq_len`` ids (``input_ids``) with ``mask`` true where an id is real. Only the last sequence of a file
-    is padded. Every batch but a file's last has ``per_batch`` sequences, so sequence ``i`` is row
-    ``i % per_batch`` of batch ``i // per_batch``. No shuffle; the files of an attempt that is repeated are
-    not referred to by the result.
+    ``seq_len`` ids (``input_ids``) with ``mask`` 1 where an id is real, a byte each, so that both are read without a
+    copy. Only the last sequence of a file is padded. Every batch but a file's last has ``per_batch`` sequences, so
+    sequence ``i`` is row ``i % per_batch`` of batch ``i // per_batch``. No shuffle. A task that is repeated leaves the
+    file of its lost attempt behind: :func:`files_of` has those that count, as the written result names them.
 
     Nulls: a null or empty text writes nothing, ``n_tokens`` 0 and null places; a null doc_id is kept.
-    Repeated rows are written as often as they occur. An empty table gives no rows.
+    Repeated rows are written as often as they occur. An empty table gives no rows and no files. A very long text
+    costs its own size in memory; others are taken together up to ``common.PIECE`` bytes.
     """
     folder = folder.rstrip("/")
 
@@ -87,7 +90,7 @@ def write_sequences(docs: DataFrame, folder: str, seq_len: int = SEQ_LEN, vocab:
         here = TaskContext.get()
         uri = f"{folder}/part-{here.partitionId():06d}-{here.taskAttemptId()}-{uuid.uuid4().hex[:8]}.arrow"
         writer, at = None, 0
-        for batch in batches:
+        for batch in common.pieces(batches):
             ids, bounds = tokenizer.token_ids(batch.column("text"), vocab)
             lens = np.diff(bounds)
             if writer is None and len(ids):
@@ -113,11 +116,18 @@ def write_sequences(docs: DataFrame, folder: str, seq_len: int = SEQ_LEN, vocab:
         if writer is not None:
             writer.close()
 
-    return common.project(docs).mapInArrow(run, SCHEMA)
+    rows = common.materialize(common.mapped(common.project(docs), run, SCHEMA), "sequence-rows")
+    rows.where("file IS NOT NULL").select("file").distinct().write.mode("overwrite").parquet(f"{folder}/{MANIFEST}")
+    return rows
+
+
+def files_of(spark: SparkSession, folder: str) -> DataFrame:
+    """``file``: the files below ``folder`` that hold its sequences, each once."""
+    return spark.read.schema("file string").parquet(f"{folder.rstrip('/')}/{MANIFEST}")
 
 
 class Sequences:
-    """Random access to one file through a memory map: ``seqs[i]`` is (ids, mask) without a copy of the ids."""
+    """Random access to one file through a memory map: ``seqs[i]`` is (ids, mask), both views of the file."""
 
     def __init__(self, path: str) -> None:
         self.reader = pa.ipc.open_file(pa.memory_map(urlparse(path).path if "://" in path or path.startswith("file:") else path))
@@ -135,7 +145,7 @@ class Sequences:
             raise IndexError(i)
         batch, row = self._batch(i // self.per_batch), i % self.per_batch
         lo, hi = row * self.seq_len, (row + 1) * self.seq_len
-        return batch.column(0).values[lo:hi].to_numpy(zero_copy_only=True), batch.column(1).values[lo:hi].to_numpy(zero_copy_only=False)
+        return batch.column(0).values[lo:hi].to_numpy(zero_copy_only=True), batch.column(1).values[lo:hi].to_numpy(zero_copy_only=True)
 
     def document(self, first_sequence: int, first_offset: int, n_tokens: int) -> list[int]:
         out, at, skip = [], first_sequence, first_offset

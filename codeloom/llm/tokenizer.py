@@ -21,7 +21,7 @@ import tiktoken
 DEFAULT_VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct chunks a worker remembers; the common ones come early, later ones are made anew (speed only).
-CACHE = 600_000
+CACHE = 200_000
 #: The same for the regex module, whose own \\s also takes the four separators 1C to 1F.
 _FIND = PATTERN.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]").replace(r"(?!\S)", r"(?!\P{White_Space})").replace(r"\s+", r"\p{White_Space}+")
 _SPACE = regex.compile(r"\p{White_Space}+")
@@ -140,13 +140,13 @@ class PrefixTable:
         self.pairs: dict[int, bool] = {}
         self.find = regex.compile(_FIND).findall
         self.states: dict[bytes, int] = {}
-        self.words = Cache(self._word, 300_000)
+        self.words = Cache(self._word, 100_000)
         self.chunks = Cache(self._chunk)
 
     def _fits(self, a: int, b: int) -> bool:
         """Whether token b can follow token a (-1: begin a piece) in an encoding."""
         ok = self.piece(self.bytes_of[b]) == [b] if a < 0 else self.piece(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-        if len(self.pairs) < 1_000_000:
+        if len(self.pairs) < 400_000:
             self.pairs[a << 32 | b] = ok
         return ok
 
@@ -172,7 +172,7 @@ class PrefixTable:
                 if fits or fits is None and self._fits(last[begin], t):
                     last.append(t)
                     count.append(count[begin] + 1)
-                    if head is not None and len(states) < 1_000_000:
+                    if head is not None and len(states) < 400_000:
                         states[head] = t << 8 | count[end]
                     break
             else:

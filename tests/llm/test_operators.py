@@ -75,8 +75,9 @@ def test_sequences_round_trip(spark, docs, texts, encoding):
             real += len(want) + 1
     masks = sum(int(s[i][1].sum()) for s in files.values() for i in range(len(s)))
     assert masks == real
-    ids, _ = next(iter(files.values()))[0]
-    assert len(ids) == 128 and not ids.flags.owndata
+    ids, mask = next(iter(files.values()))[0]
+    assert len(ids) == len(mask) == 128 and not ids.flags.owndata and not mask.flags.owndata
+    assert {r["file"] for r in token_output.files_of(spark, folder).collect()} == set(files)
 
 
 def test_prefix_counts(spark, encoding):
@@ -169,8 +170,8 @@ def test_decontamination(spark):
     ]
     bench = spark.createDataFrame([(0, item), (1, None), (2, ""), (3, "!!!")], "item_id bigint, text string")
     docs = table(spark, rows)
-    for set_size in (400_000, 5):
-        found = sorted((str(r["doc_id"]), r["item_id"], r["first_word"], r["n_words"]) for r in decontaminate.find_contamination(docs, bench, set_size=set_size).collect())
+    for set_bytes in (1 << 26, 300):
+        found = sorted((str(r["doc_id"]), r["item_id"], r["first_word"], r["n_words"]) for r in decontaminate.find_contamination(docs, bench, set_bytes=set_bytes).collect())
         assert found == [("1", 0, 30, 20), ("3", 0, 0, 20), ("4", 0, 9, 20), ("None", 0, 5, 20)]
     cleaned = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(docs, bench).collect()}
     assert 3 not in cleaned and cleaned[2] == rows[1][1] and cleaned[5] == rows[4][1] and cleaned[6] is None
@@ -188,12 +189,12 @@ def test_decontamination_in_several_sets(spark):
     docs = table(spark, [*rows, rows[3], rows[15], rows[15]])
 
     def both(run):
-        return [sorted(map(tuple, run(size).collect())) for size in (400_000, 5)]
+        return [sorted(map(tuple, run(size).collect())) for size in (1 << 26, 3_000)]
 
-    one, many = both(lambda size: decontaminate.decontaminate(docs, bench, set_size=size))
+    one, many = both(lambda size: decontaminate.decontaminate(docs, bench, set_bytes=size))
     assert one == many and min(r[0] for r in one) == 20 and len(one) == 14
     assert all(r[1] == f"{prose(300 + r[0], 12)} {prose(320 + r[0], 12)}" for r in one)
-    one, many = both(lambda size: decontaminate.find_contamination(docs, bench, set_size=size))
+    one, many = both(lambda size: decontaminate.find_contamination(docs, bench, set_bytes=size))
     assert one == many and len(one) == 27
 
 
