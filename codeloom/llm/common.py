@@ -76,14 +76,14 @@ def _drop_at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(drop)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """``df`` written once as Parquet below the shared folder and read again: lineage ends here.
 
-    Survives the loss of any executor. The folder goes when the driver's Python ends.
+    ``by`` is its last column if each of its values is to have a folder of its own. Survives the loss of any executor. The folder goes when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/codeloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

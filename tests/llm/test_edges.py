@@ -102,7 +102,7 @@ def test_pipeline_stages_hold_what_they_promise(spark):
     raw, good, lined, unique, clean = seen
     scored = quality.score_documents(raw, common.table(spark, SF, "labels"))
     assert sorted(r["doc_id"] for r in good.collect()) == sorted(r["doc_id"] for r in scored.where("keep").collect())
-    assert line_dedup.lines_of(lined).groupBy("hash").count().where("count > 1").isEmpty()
+    assert line_dedup.meet(lined).where(F.col("kind") == line_dedup.AGAIN).isEmpty()
     assert near_dedup.near_duplicate_groups(unique).where("group_size > 1").count() <= 0.1 * max(1, near_dedup.near_duplicate_groups(lined).count())
     assert decontaminate.find_contamination(clean, common.table(spark, SF, "benchmark")).isEmpty()
     hit = {r["doc_id"] for r in decontaminate.find_contamination(unique, common.table(spark, SF, "benchmark")).collect()}

@@ -389,39 +389,52 @@ def _distance(a: str, b: str) -> int:
     return row[-1]
 
 
-def test_line_dedup_against_brute_force(spark):
-    line = prose(60, 40)
-    rows = [(1, f"{line}\n{prose(1, 12)}"), (2, f"{prose(2, 12)}\n{line.upper()}!\n\n***"), (3, f"{line.replace(line.split()[3], line.split()[3] + 'x', 1)}\n{prose(3, 12)}"), (4, line), (5, None), (6, ""), (7, f"{prose(7, 8)}\n{prose(7, 8)}"), (None, line)]
-    docs = table(spark, rows)
+def _kept_lines(rows: list[tuple], close) -> dict:
+    """Texts after line dedup by brute force: every pair of lines is compared by ``close`` of normalised texts."""
     every = [(d is None, d or 0, i, k) for d, t in rows if t for i, k in enumerate(t.split("\n"))]
     w, _, _ = line_dedup.line_words(pa.array([k for *_, k in every]))
-    norm = [" ".join(w.vocab[c] for c in w.codes[a:b]) for a, b in zip(w.bounds[:-1], w.bounds[1:])]
-    sig = simhash.signatures(w.hashes()[w.codes], w.bounds)[:, 0]
-    keep: list[int] = []
+    vocab = w.vocab
+    norm = [" ".join(vocab[c] for c in w.codes[a:b]) for a, b in zip(w.bounds[:-1], w.bounds[1:])]
     root = list(range(len(every)))
     for i, j in itertools.combinations(range(len(every)), 2):
-        if norm[i] and norm[j]:
-            far = int(np.bitwise_count(sig[i] ^ sig[j]))
-            close = norm[i] == norm[j] or (far <= line_dedup.RADIUS and _distance(norm[i], norm[j]) <= math.floor(max(len(norm[i]), len(norm[j])) * (1 - line_dedup.SIMILARITY) + 1e-9))
-            if close:
-                a, b = root[i], root[j]
-                root = [min(a, b) if r in (a, b) else r for r in root]
+        if norm[i] and norm[j] and root[i] != root[j] and (norm[i] == norm[j] or close(norm[i], norm[j])):
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+    least: dict[int, int] = {}
     for i in range(len(every)):
-        members = [k for k in range(len(every)) if root[k] == root[i]]
-        if not norm[i] or min(members, key=lambda k: every[k][:3]) == i:
-            keep.append(i)
+        if root[i] not in least or every[i][:3] < every[least[root[i]]][:3]:
+            least[root[i]] = i
+    keep = {i for i in range(len(every)) if not norm[i] or least[root[i]] == i}
     want = {}
     for d, t in rows:
-        lines = [every[i][3] for i in keep if (every[i][0], every[i][1]) == (d is None, d or 0)] if t else None
+        lines = [every[i][3] for i in sorted(keep) if (every[i][0], every[i][1]) == (d is None, d or 0)] if t else None
         if not t:
             want[d] = t
         elif any(c.isalnum() for x in lines for c in x) or len(lines) == len(t.split("\n")):
             want[d] = "\n".join(lines)
-    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(docs).collect()}
-    assert got == want and 4 not in got and got[2].startswith(prose(2, 12))
+    return want
 
 
-def test_pigeonhole_pairs_are_complete(spark):
+def _similar(a: str, b: str) -> bool:
+    return _distance(a, b) <= math.floor(max(len(a), len(b)) * (1 - line_dedup.SIMILARITY) + 1e-9)
+
+
+def test_line_dedup_against_brute_force(spark):
+    """By edit similarity alone, at many lengths, with null and repeated rows."""
+    rng = random.Random(8)
+    line = prose(60, 40)
+    rows = [(1, f"{line}\n{prose(1, 12)}"), (2, f"{prose(2, 12)}\n{line.upper()}!\n\n***"), (3, f"{line.replace(line.split()[3], line.split()[3] + 'x', 1)}\n{prose(3, 12)}"), (4, line), (5, None), (6, ""), (7, f"{prose(7, 8)}\n{prose(7, 8)}"), (None, line)]
+    for k, n in enumerate((3, 4, 6, 9, 15, 30, 60)):
+        text = prose(600 + k, n)
+        rows += [(100 + 3 * k, f"{text}\n{prose(610 + k, 9)}"), (101 + 3 * k, f"{prose(620 + k, 9)}\n{_edited(rng, text, 1)}"), (102 + 3 * k, f"{prose(630 + k, 9)}\n{_edited(rng, text, len(text) // 20)}")]
+    want = _kept_lines(rows, _similar)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(table(spark, rows)).collect()}
+    assert got == want and 4 not in got and got[2].startswith(prose(2, 12)) and len(got[102 + 3 * 6]) < 80
+    twice = line_dedup.drop_lines(table(spark, rows + rows)).collect()
+    assert sorted(map(str, (r["text"] for r in twice))) == sorted(map(str, [*want.values(), *want.values()]))
+
+
+def test_pigeonhole_pairs_are_complete():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     near = base.copy()
@@ -429,10 +442,21 @@ def test_pigeonhole_pairs_are_complete(spark):
         for bit in rng.integers(0, 64, i % 5):
             near[i] ^= np.uint64(1) << np.uint64(bit)
     sigs = np.unique(np.concatenate([base, near]))
-    df = spark.createDataFrame([(i, int(s.view(np.int64))) for i, s in enumerate(sigs)], "hash bigint, sig bigint")
-    got = [(r["a"], r["b"]) for r in line_dedup.candidate_pairs(df).collect()]
-    want = {(i, j) for i, j in itertools.combinations(range(len(sigs)), 2) if int(np.bitwise_count(sigs[i] ^ sigs[j])) <= line_dedup.RADIUS}
-    assert len(got) == len(set(got)) and set(got) == want
+    for radius in (1, 3, 5):
+        got = [tuple(sorted(p)) for k in range(radius + 1) for part in line_dedup.signed_pairs(sigs, np.arange(len(sigs)), k, radius) for p in part.tolist()]
+        want = {(i, j) for i, j in itertools.combinations(range(len(sigs)), 2) if int(np.bitwise_count(sigs[i] ^ sigs[j])) <= radius}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_first_places_of_lines():
+    rng = random.Random(4)
+    rows = [(rng.randrange(6), 0 if (none := rng.random() < 0.2) else rng.randrange(3), rng.randrange(2), rng.randrange(3), none) for _ in range(300)]
+    lines = np.array(rows, line_dedup.LINE)
+    first, again = line_dedup.first_of(lines)
+    least = {h: min((r[4], *r[1:4]) for r in rows if r[0] == h) for h in range(6)}
+    assert sorted(r[0] for r, f in zip(rows, first) if f) == list(range(6))
+    assert all((r[4], *r[1:4]) == least[r[0]] for r, f in zip(rows, first) if f)
+    assert [(r[4], *r[1:4]) != least[r[0]] for r in rows] == again.tolist()
 
 
 def test_split_groups_verify_alike(spark):
@@ -467,12 +491,11 @@ def test_line_candidates_against_edit_similarity_alone(n):
     for edits in (1, n // 10):
         lines = ["".join(rng.choice("etaoinshrdlu ") for _ in range(n - 2)) + "zz" for _ in range(60)]
         other = [_edited(rng, x, edits) for x in lines]
-        lens, bag, marks = line_dedup.line_marks([*lines, *other])
-        sets = [set(m) for m in marks.to_pylist()]
-        true = [i for i in range(60) if _distance(lines[i], other[i]) <= math.floor(max(len(lines[i]), len(other[i])) * 0.1 + 1e-9)]
+        lens, bag, row, marks = line_dedup.line_marks([*lines, *other])
+        sets = [set(marks[row == i].tolist()) for i in range(120)]
+        true = [i for i in range(60) if _similar(lines[i], other[i])]
         for i in true:
-            more = np.maximum(bag[i], bag[60 + i])
-            assert max((more - bag[i]).sum(), (more - bag[60 + i]).sum()) <= max(lens[i], lens[60 + i]) // 10
+            assert line_dedup.bags_apart(bag[i : i + 1], bag[60 + i : 61 + i])[0] <= max(lens[i], lens[60 + i]) // 10 or max(lens[i], lens[60 + i]) >= line_dedup.COUNTED
         assert len(true) >= 40 and sum(bool(sets[i] & sets[60 + i]) for i in true) >= 0.9 * len(true)
 
 
@@ -480,5 +503,5 @@ def test_fuzzy_lines_go(spark):
     """Changes that the words' signature does not bring together: one word of ten, one letter of a short line."""
     long, short = prose(90, 10), "a short line here"
     rows = [(1, long), (2, f"{prose(91, 9)}\n{long[:5]}Q{long[6:]}"), (3, short), (4, f"{prose(92, 9)}\na shart line here")]
-    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(table(spark, rows), marks=True).collect()}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(table(spark, rows)).collect()}
     assert got == {1: long, 2: prose(91, 9), 3: short, 4: prose(92, 9)}
