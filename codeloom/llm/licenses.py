@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import difflib
 import functools
+import pkgutil
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ BRIDGE = 3
 TOLERANCE = 0.15
 
 #: License, and its wordings: public notices and texts.
-TEMPLATES: tuple[tuple[str, tuple[str, ...]], ...] = (
+_NOTICES: tuple[tuple[str, tuple[str, ...]], ...] = (
     (
         "MIT",
         (
@@ -87,6 +88,20 @@ TEMPLATES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC-BY-ND-4.0", ("Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.")),
     ("Proprietary", ("All rights reserved.", "All rights reserved. No part of this publication may be reproduced without prior written permission.")),
 )
+#: Licenses whose full texts are wordings too; the files are the public ones, with no word changed.
+FULL_TEXTS = ("MIT", "Apache-2.0", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "LGPL-2.1", "BSD-3-Clause", "BSD-2-Clause", "ISC", "MPL-2.0", "CC0-1.0", "Artistic-1.0")
+
+
+def _with_texts(notices: tuple) -> tuple:
+    every = {name: list(wordings) for name, wordings in notices}
+    for name in FULL_TEXTS:
+        every.setdefault(name, []).append((pkgutil.get_data(__package__, f"license_texts/{name}.txt") or b"").decode())
+    return tuple((name, tuple(wordings)) for name, wordings in every.items())
+
+
+TEMPLATES = _with_texts(_NOTICES)
+#: Words of a template from which on differing words may name licenses too: whole texts name several.
+LONG = 120
 #: Words that name a license: none of them may differ from the template.
 NAMES = frozenset("mit apache gnu general lesser affero gpl lgpl agpl bsd isc mozilla mpl unlicense cc0 cc by sa nc nd attribution sharealike noncommercial noderivatives creative commons public domain version v 1 2 3 4 0 clause".split())
 _WORD = regex.compile(r"[\p{L}]+|\p{N}+")
@@ -106,7 +121,7 @@ def _tools(templates: tuple) -> tuple[zstandard.ZstdCompressor, list[tuple]]:
     for name, wordings in templates:
         for i, text in enumerate(wordings):
             raw = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            made.append((name, i, words(text), zstandard.ZstdCompressor(level=3, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False)))
+            made.append((name, i, words(text), collections.Counter(words(text)), zstandard.ZstdCompressor(level=3, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False)))
     return plain, made
 
 
@@ -124,9 +139,9 @@ def wording(block: list[str], template: list[str]) -> tuple[int, int, list[str]]
     return len(template) - matched, len(added), [*(f"-{w}" for w in missing), *(f"+{w}" for w in added)]
 
 
-def _common(have: collections.Counter, template: list[str]) -> int:
+def _common(have: collections.Counter, template: collections.Counter) -> int:
     """Words of the template that the text has, in any order: no alignment matches more."""
-    return sum(min(have[w], n) for w, n in collections.Counter(template).items())
+    return sum(min(have[w], n) for w, n in template.items())
 
 
 def _span(have: list[str], template: list[str]) -> tuple[int, int]:
@@ -154,37 +169,41 @@ def _places(have: list[str], template: list[str], tolerance: float) -> list[int]
 def notices(block: str, templates: tuple = TEMPLATES, tolerance: float = TOLERANCE) -> list[tuple]:
     """All confirmed wordings of a text that do not overlap, each as (begin, end, what :func:`identify` gives).
 
-    A wording is compared around every place where it may begin, however long the text is. It is confirmed if at most
-    ``tolerance`` of its words are missing and as many are added, and no differing word names a license or a version;
-    numbers that count clauses may be left out. Where confirmed wordings overlap the one with more words matched stays,
-    then the one that compresses the stretch better.
+    Every wording is a raw dictionary: the stretches where it may stand, however long the text is, are compressed with
+    it and without, and ranked by the size reduction. In that order they are confirmed by the exact differences in
+    wording: at most ``tolerance`` of the wording's words may be missing and as many added, and no differing word may
+    name a license or a version (but in whole texts of ``LONG`` words); numbers that count clauses may be left out. A
+    confirmed stretch keeps its place from those of lower rank; of equal ones the first stays.
     """
     plain, made = _tools(templates)
-    every, found = list(_WORD.finditer(block)), []
+    every, found = list(_WORD.finditer(block)), set()
     plainer = [m for m in every if not _clause(block, m)]
     for tokens in (every, plainer) if len(plainer) < len(every) else (every,):
         have = [m.group().lower() for m in tokens]
         counts = collections.Counter(have)
-        for k, (name, i, template, packer) in enumerate(made):
-            if not template or _common(counts, template) < (1 - tolerance) * len(template):
+        for k, (name, i, template, bag, packer) in enumerate(made):
+            least = (1 - tolerance) * len(template)
+            if not template or _common(counts, bag) < least:
                 continue
             slack = int(tolerance * len(template)) + 1
             for x in _places(have, template, tolerance):
                 a, b = max(0, x - slack), min(len(have), x + len(template) + 3 * slack)
                 part = have[a:b]
-                if _common(collections.Counter(part), template) < (1 - tolerance) * len(template):
+                if _common(collections.Counter(part), bag) < least:
                     continue
                 begin, end = _span(part, template)
-                missing, added, differ = wording(part, template)
-                if missing <= tolerance * len(template) and added <= tolerance * len(template) and not NAMES & {d[1:] for d in differ}:
-                    first, last = tokens[a + begin].start(), tokens[a + end - 1].end()
-                    raw = block[first:last].encode()
-                    saved = len(plain.compress(raw)) - len(packer.compress(raw))
-                    found.append((missing - len(template), added, first, -saved, k, last, (name, i, saved, missing, added, not differ, " ".join(differ))))
+                first, last = tokens[a + begin].start(), tokens[a + end - 1].end()
+                raw = block[first:last].encode()
+                saved = len(plain.compress(raw)) - len(packer.compress(raw))
+                found.add((-saved, -len(template), first, last, k, tuple(part[begin:end])))
     out: list[tuple] = []
-    for *_, first, _, _, last, what in sorted(found, key=lambda f: f[:6]):
-        if all(last <= x or first >= y for x, y, _ in out):
-            out.append((first, last, what))
+    for saved, _, first, last, k, part in sorted(found):
+        name, i, template = made[k][:3]
+        if any(first < y and last > x for x, y, _ in out):
+            continue
+        missing, added, differ = wording(list(part), template)
+        if missing <= tolerance * len(template) and added <= tolerance * len(template) and (len(template) >= LONG or not NAMES & {d[1:] for d in differ}):
+            out.append((first, last, (name, i, -saved, missing, added, not differ, " ".join(differ))))
     return sorted(out)
 
 
@@ -209,7 +228,8 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, cues: str = CUES, bridge
     confirmed wording (a copyright line, an unknown license) and without a part in a block's wording before it has one
     row with ``license`` null and its own lines. Every line of every text is looked at. No shuffle.
 
-    Nulls: a null or empty text has no blocks; a null doc_id is kept. Repeated rows give repeated results.
+    Nulls: a null or empty text has no blocks; a null doc_id is kept. Repeated rows give repeated results. Ties of rank go to
+    the first. An empty table gives no rows. A very long text costs its own size in memory, its blocks the time of their words.
     """
     reach = 2 * max((len(words(x)) for _, wordings in templates for x in wordings), default=0)
 

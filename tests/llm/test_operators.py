@@ -299,6 +299,39 @@ def test_license_in_long_lines():
                 assert _licenses(f"{prose(n, n // 2)} {wording} {prose(n + 1, n // 2)}") == [name]
 
 
+def _by_brute_force(text: str) -> set[str]:
+    """Licenses of the wordings of up to 40 words that some window of the text has word for word."""
+    have = licenses.words(text)
+    wordings = [(name, licenses.words(w)) for name, every in licenses.TEMPLATES for w in every]
+    return {name for name, want in wordings if 0 < len(want) <= 40 and any(have[i : i + len(want)] == want for i in range(len(have)))}
+
+
+def test_licenses_against_all_windows():
+    """Planted notices of up to 40 words in prose: the licenses of all exact windows are found, and no others."""
+    rng = random.Random(6)
+    short = [(n, w) for n, ws in licenses.TEMPLATES for w in ws if len(licenses.words(w)) <= 40]
+    for k in range(40):
+        name, text = rng.choice(short)
+        other, more = rng.choice(short)
+        whole = f"{prose(900 + k, 20)} {text} {prose(901 + k, 30)}" + (f" {more}" if k % 2 else "")
+        assert set(_licenses(whole)) == _by_brute_force(whole), (text, more)
+
+
+@pytest.mark.parametrize("width", [76, 50])
+def test_whole_license_files(spark, width):
+    """Standard license files in their usual shape: title, copyright line, text wrapped at some width."""
+    every = dict(licenses.TEMPLATES)
+    rows = []
+    for k, name in enumerate(licenses.FULL_TEXTS):
+        body = "\n\n".join(textwrap.fill(" ".join(p.split()), width) for p in every[name][-1].split("\n\n"))
+        rows.append((k, f"{name} License\n\nCopyright (c) 2021 Some Body\n\n{body}\n"))
+    got = {}
+    for r in licenses.scan(table(spark, rows)).collect():
+        if r["license"]:
+            got.setdefault(r["doc_id"], set()).add(r["license"])
+    assert got == {k: {name} for k, name in enumerate(licenses.FULL_TEXTS)}
+
+
 def test_license_texts_in_lines(spark):
     clauses = dict(licenses.TEMPLATES)["BSD-3-Clause"][2]
     for k, mark in ((1, "Redistributions of source"), (2, "Redistributions in binary"), (3, "Neither the name")):
