@@ -64,9 +64,17 @@ def connected_components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFram
     finished by one task; a larger one by alternating large-star and small-star rounds, each written to the
     shared folder. Loops and repeated edges are harmless; nodes that only have loops do not appear.
     """
-    forest = common.materialize(edges.select("a", "b").where("a <> b").mapInArrow(_forest, "a bigint, b bigint"), "forest")
-    if forest.count() <= one_task:
-        stars = forest.repartition(1).mapInArrow(_forest, "a bigint, b bigint")
+    forest = common.materialize(common.mapped(edges.select("a", "b").where("a <> b"), _forest, "a bigint, b bigint"), "forest")
+    # forests of several tasks repeat each other: fewer tasks have fewer edges
+    size, tasks = forest.count(), forest.rdd.getNumPartitions()
+    while size > one_task > 0 and (tasks := tasks // 8):
+        fewer = common.materialize(common.mapped(forest.coalesce(tasks), _forest, "a bigint, b bigint"), "forest")
+        before, size = size, fewer.count()
+        forest = fewer
+        if size > before // 2:
+            break
+    if size <= one_task:
+        stars = common.mapped(forest.repartition(1), _forest, "a bigint, b bigint")
     else:
         stars, before = forest, None
         while True:
@@ -81,5 +89,20 @@ def connected_components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFram
             if now == before:
                 break
             before = now
+    stars = common.materialize(stars, "components") if one_task else stars
     roots = stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+
+
+def in_groups(pairs: DataFrame, group_pairs: int) -> DataFrame:
+    """``g, a, b``: the pairs in groups that share no component, a large component in shares of about ``group_pairs``.
+
+    A share is a hash of ``a``. Whoever verifies a group may leave out pairs whose ends it has connected already: with
+    them or without, the components of all that is verified are the same.
+    """
+    comps = connected_components(pairs)
+    placed = common.materialize(pairs.join(common.small(comps, 16), pairs["a"] == comps["node"]).select("component", "a", "b"), "placed-pairs")
+    large = placed.groupBy("component").agg(F.ceil(F.count("*") / F.lit(group_pairs)).alias("shares")).where("shares > 1")
+    split = placed.join(common.small(common.materialize(large, "large-components"), 24), "component", "left")
+    share = F.pmod(F.xxhash64("a"), F.coalesce("shares", F.lit(1)))
+    return split.select(F.xxhash64("component", share).alias("g"), "a", "b")
