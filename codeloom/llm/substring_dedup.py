@@ -47,12 +47,17 @@ def anchors(h: np.ndarray, bounds: np.ndarray, least: int = MIN_WORDS, size: int
 class FMIndex:
     """Backward search over a text of integers in which 0 separates pieces.
 
-    The Burrows-Wheeler transform is kept as a wavelet matrix: one bit vector for each bit of a symbol, packed in
-    64-bit words with a running count for each word. Suffixes are sorted to a depth of ``depth`` symbols, which
-    is exact for patterns up to that length. All searches run on many patterns at once.
+    The Burrows-Wheeler transform is kept as a wavelet matrix: one bit vector for each bit of a symbol's rank in the
+    shard's alphabet, packed in 64-bit words; the ones before a word are counted from the last of every ``SUPER`` words
+    in 16 bits. That is a bit and a quarter for each bit of a symbol, less than the text of hashes takes. Neither the
+    text nor the order of the suffixes is kept: of the order only the document of each run of suffixes (:meth:`owned`).
+    Suffixes are sorted to a depth of ``depth`` symbols, which is exact for patterns up to that length. All searches run
+    on many patterns at once.
     """
 
-    def __init__(self, text: np.ndarray, depth: int) -> None:
+    SUPER = 1 << 10
+
+    def __init__(self, text: np.ndarray, depth: int, owner: np.ndarray) -> None:
         self.symbols, codes = np.unique(text, return_inverse=True)
         self.n = len(codes)
         rank, have = codes.astype(np.int64), 1
@@ -71,7 +76,9 @@ class FMIndex:
             have *= 2
             if step[-1] == self.n - 1:
                 break
-        self.order = order.astype(np.int32)
+        sorted_owner = owner[order].astype(np.int32)
+        self.run_end = (np.flatnonzero(np.concatenate([sorted_owner[1:] != sorted_owner[:-1], [True]])) + 1).astype(np.int32)
+        self.run_owner = sorted_owner[self.run_end - 1]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(self.symbols)))])
         self._wavelet(codes[order - 1])
 
@@ -87,7 +94,9 @@ class FMIndex:
             words = np.zeros(self.n // 64 + 1, np.uint64)
             words.view(np.uint8)[: len(packed)] = packed
             self.bits.append(words)
-            self.counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)]).astype(np.int32))
+            before = np.cumsum(np.bitwise_count(words), dtype=np.int64) - np.bitwise_count(words)
+            top = before[:: self.SUPER]
+            self.counts.append((top, (before - np.repeat(top, self.SUPER)[: len(before)]).astype(np.uint16)))
             self.zeros.append(self.n - int(bit.sum()))
             one = (codes >> level & 1).astype(bool)
             ones = self._ones(len(self.bits) - 1, starts)
@@ -98,7 +107,13 @@ class FMIndex:
     def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
         word = at >> 6
         mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return self.counts[level][word] + np.bitwise_count(self.bits[level][word] & mask)
+        top, count = self.counts[level]
+        return top[word // self.SUPER] + count[word] + np.bitwise_count(self.bits[level][word] & mask)
+
+    def owned(self, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The document of the suffix at each place of the order, and where the run of suffixes of that document ends."""
+        run = np.minimum(np.searchsorted(self.run_end, lo, side="right"), len(self.run_end) - 1)
+        return self.run_owner[run], self.run_end[run]
 
     def step(self, code: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the patterns with ``code`` put before them."""
@@ -117,9 +132,11 @@ def covered(pieces: list[np.ndarray], marks: np.ndarray, docs: np.ndarray, least
     """(piece, begin, end) of the stretches made of ``least``-word windows over the anchor that another document has.
 
     ``pieces`` are distinct; ``marks`` is where each one's anchor begins; ``docs`` the code of the one document
-    that has the piece, or -1 for several. A piece of several documents is returned whole. For the others the
-    furthest right end of a match that begins at the anchor is bisected, then the furthest left begin of one that
-    ends with the anchor; if a window fits between, each begin in between is tried from the left.
+    that has the piece, or -1 for several. A piece of several documents is returned whole. The others stream past the
+    index: for an end in a piece, backward search gives its matching statistic, how far to the left another document
+    has the text that ends there. The furthest end of a match that begins at the anchor is bisected; from there the
+    statistics of ends are taken to the left, as far as a window can hold the anchor, and those of ``least`` words or
+    more are reported. After a hit of n words, the next end that can add a window is asked; the ones between lie in it.
     """
     sizes = np.asarray([len(p) for p in pieces])
     out = [(i, 0, int(sizes[i])) for i in np.flatnonzero(docs < 0)]
@@ -128,13 +145,11 @@ def covered(pieces: list[np.ndarray], marks: np.ndarray, docs: np.ndarray, least
         text = np.zeros(int(sizes.sum()) + len(pieces), np.uint64)
         begins = np.cumsum(sizes + 1) - sizes - 1
         text[common.ragged(begins, sizes)] = np.concatenate(pieces).astype(np.uint64) + np.uint64(1)
-        index = FMIndex(text, int(sizes.max()) + 1)
-        codes = np.searchsorted(index.symbols, text)
-        owner = np.repeat(docs, sizes + 1)[index.order]  # the document of each sorted suffix
-        change = np.flatnonzero(np.concatenate([owner[1:] != owner[:-1], [True]])) + 1
-        until = change[np.searchsorted(change, np.arange(len(owner)), side="right")]  # end of the run of one document
+        index = FMIndex(text, int(sizes.max()) + 1, np.repeat(docs, sizes + 1))
+        codes = np.searchsorted(index.symbols, text).astype(np.int32)
+        del text
 
-        def reach(who: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        def matched(who: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
             """The least start, not under ``begin``, from which up to ``end`` another document has the text too."""
             at = end.copy()
             lo, hi = np.zeros(len(who), np.int64), np.full(len(who), index.n, np.int64)
@@ -142,8 +157,8 @@ def covered(pieces: list[np.ndarray], marks: np.ndarray, docs: np.ndarray, least
             while len(live):
                 w = who[live]
                 a, b = index.step(codes[begins[w] + at[live] - 1], lo[live], hi[live])
-                some = np.minimum(a, index.n - 1)
-                good = (b > a) & ((owner[some] != docs[w]) | (until[some] < b))
+                owner, until = index.owned(a)
+                good = (b > a) & ((owner != docs[w]) | (until < b))
                 live, a, b = live[good], a[good], b[good]
                 lo[live], hi[live] = a, b
                 at[live] -= 1
@@ -152,22 +167,22 @@ def covered(pieces: list[np.ndarray], marks: np.ndarray, docs: np.ndarray, least
 
         p = marks[ask]
         low, high = p + size, sizes[ask].copy()  # the anchor itself is known to match
-        first = reach(ask, p, high) <= p  # the whole right side at once: the common case
+        first = matched(ask, p, high) <= p  # the whole right side at once: the common case
         low = np.where(first, high, low)
         while (open_ := np.flatnonzero(low < high)).size:
             mid = (low[open_] + high[open_] + 1) // 2
-            fits = reach(ask[open_], p[open_], mid) <= p[open_]
+            fits = matched(ask[open_], p[open_], mid) <= p[open_]
             low[open_] = np.where(fits, mid, low[open_])
             high[open_] = np.where(fits, high[open_], mid - 1)
         right = low
         left = np.zeros(len(ask), np.int64)
         hope = np.flatnonzero(right >= least)
-        left[hope] = reach(ask[hope], np.zeros(len(hope), np.int64), p[hope] + size)
+        left[hope] = matched(ask[hope], np.zeros(len(hope), np.int64), p[hope] + size)
         live = hope[right[hope] - left[hope] >= least]
         end = right.copy()
         # from the right: the longest match that ends at ``end``; then the next end that can add a window
         while len(live):
-            begin = reach(ask[live], left[live], end[live])
+            begin = matched(ask[live], left[live], end[live])
             hit = end[live] - begin >= least
             out += list(zip(ask[live[hit]].tolist(), begin[hit].tolist(), end[live[hit]].tolist()))
             end[live] = np.where(hit, begin - 1 + least, end[live] - 1)
