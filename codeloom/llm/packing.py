@@ -14,7 +14,7 @@ from . import common, tokenizer
 CAPACITY = 2048
 #: Pieces that are packed together; blocks are packed independently of each other.
 BLOCK = 512
-#: Fillings that the search of one block may try; then the incumbent, a whole packing, stands.
+#: Fillings that the search of one block may look at, dominated ones too; then the incumbent, a whole packing, stands.
 NODES = 1000
 SCHEMA = "doc_id bigint, piece int, first_token bigint, n_tokens int, bin string, bin_offset int, bin_used int"
 
@@ -53,11 +53,28 @@ def lower_bound(sizes: list[int], capacity: int) -> int:
     return max(best, int(np.searchsorted(arr, -(capacity / 2), "left")))
 
 
-def fillings(values: list[int], counts: list[int], room: int, waste: int) -> Iterator[tuple[int, ...]]:
+def undominated(taken: list[int], free: list[int], left: int) -> bool:
+    """Whether no piece left out (``free``) can be added, or take the place of some members, without overflow.
+
+    The members that a piece replaces add up to at most its size and to ``left`` less than it at least: what they leave
+    behind fits wherever the piece would have gone. A piece in place of an equal one changes nothing. Sums of members
+    are bits of an integer, those of two members or more in a second one.
+    """
+    every, several = 1, 0
+    for v in taken:
+        several |= several << v | (every & ~1) << v
+        every |= every << v
+    for v in free:
+        if v <= left or (every >> (v - left)) & ((1 << left) - 1) or several >> v & 1:
+            return False
+    return True
+
+
+def fillings(values: list[int], counts: list[int], room: int, waste: int, budget: list[int] | None = None) -> Iterator[tuple[int, ...]]:
     """Undominated sets of pieces for ``room`` that leave at most ``waste`` of it, lazily, best fit first.
 
-    ``values`` are the distinct sizes, descending, ``counts`` how many of each there are. A set is dominated
-    if a piece left out could be added, or could take the place of a smaller member without overflow.
+    ``values`` are the distinct sizes, descending, ``counts`` how many of each there are; dominated is what
+    :func:`undominated` refuses. Each set that is looked at takes one from ``budget[0]``; at nothing there are no more.
     ``reach[k]`` has a bit for every sum that the values from ``k`` on can make, so no branch is a dead end.
     """
     keep, reach = (1 << (room + 1)) - 1, [1]
@@ -82,19 +99,17 @@ def fillings(values: list[int], counts: list[int], room: int, waste: int) -> Ite
                 if reach[k + 1] >> (rest - n * v) & 1:
                     stack.append((k + 1, rest - n * v, taken + (v,) * n))
 
-    def undominated(left: int, taken: list[int]) -> bool:
-        used: dict[int, int] = {}
-        for v in taken:
-            used[v] = used.get(v, 0) + 1
-        free = [v for v, c in zip(values, counts) if c > used.get(v, 0)]
-        if any(v <= left for v in free):
-            return False
-        return not left or not any(t < v <= t + left for t in used for v in free)
-
     for left in range(min(waste, room) + 1):
         if reach[0] >> (room - left) & 1:
             for taken in exact(room - left):
-                if undominated(left, taken):
+                if budget is not None:
+                    if budget[0] <= 0:
+                        return
+                    budget[0] -= 1
+                used: dict[int, int] = {}
+                for v in taken:
+                    used[v] = used.get(v, 0) + 1
+                if undominated(taken, [v for v, c in zip(values, counts) if c > used.get(v, 0)], left):
                     yield tuple(taken)
 
 
@@ -109,7 +124,7 @@ def complete(sizes: list[int], capacity: int = CAPACITY, nodes: int = NODES) ->
     low = lower_bound(sizes, capacity)
     if len(best) <= low or not sizes:
         return best
-    total, budget = sum(sizes), nodes
+    total, budget = sum(sizes), [nodes]
     have: dict[int, int] = {}
     for s in sizes:
         have[s] = have.get(s, 0) + 1
@@ -125,12 +140,12 @@ def complete(sizes: list[int], capacity: int = CAPACITY, nodes: int = NODES) ->
         counts = [have[v] - (v == head) for v in values]
         pairs = [(v, c) for v, c in zip(values, counts) if c]
         allowed = target * capacity - total - waste
-        return ((head, *f) for f in fillings([v for v, _ in pairs], [c for _, c in pairs], capacity - head, allowed))
+        return ((head, *f) for f in fillings([v for v, _ in pairs], [c for _, c in pairs], capacity - head, allowed, budget))
 
     stack.append(branch())
-    while stack and budget > 0:
+    while stack and budget[0] > 0:
         step = next(stack[-1], None)
-        budget -= 1
+        budget[0] -= step is None
         if step is None:
             stack.pop()
             if chosen:

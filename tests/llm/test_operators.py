@@ -133,6 +133,32 @@ def _least_bins(sizes: list[int], capacity: int) -> int:
     return best
 
 
+def test_fillings_are_the_undominated_ones():
+    """Against all subsets: a set is dominated if some of its members give way to one larger piece that then fits."""
+    rng = random.Random(9)
+    for _ in range(80):
+        pieces = sorted((rng.randint(1, 9) for _ in range(rng.randint(1, 7))), reverse=True)
+        room = rng.randint(1, 16)
+        values = sorted(set(pieces), reverse=True)
+        counts = [pieces.count(v) for v in values]
+        want = set()
+        for n in range(len(pieces) + 1):
+            for at in itertools.combinations(range(len(pieces)), n):
+                taken = [pieces[i] for i in at]
+                left = room - sum(taken)
+                if left < 0:
+                    continue
+                free = list(pieces)
+                for v in taken:
+                    free.remove(v)
+                better = any(v <= left for v in free) or any(x <= v <= x + left and not (m == 1 and x == v) for v in free for m in range(1, n + 1) for x in (sum(c) for c in itertools.combinations(taken, m)))
+                if not better:
+                    want.add(tuple(sorted(taken, reverse=True)))
+        got = list(packing.fillings(values, counts, room, room))
+        assert len(got) == len(set(got)) and {tuple(sorted(g, reverse=True)) for g in got} == want, (pieces, room)
+    assert list(packing.fillings([6, 3], [1, 2], 6, 0)) == [(6,)]
+
+
 def test_bin_completion_is_optimal_on_small_instances():
     rng = random.Random(5)
     better = 0
@@ -378,7 +404,7 @@ def test_repeated_passages_against_brute_force(spark):
 def test_fm_index_counts():
     rng = np.random.default_rng(1)
     text = np.concatenate([rng.integers(1, 6, 400), [0]]).astype(np.uint64)
-    index = substring_dedup.FMIndex(text, 12)
+    index = substring_dedup.FMIndex(text, 12, np.zeros(len(text), np.int64))
     plain = text.tolist()
     for _ in range(60):
         n = int(rng.integers(1, 8))
@@ -524,12 +550,24 @@ def test_line_candidates_against_edit_similarity_alone(n):
     for edits in (1, n // 10):
         lines = ["".join(rng.choice("etaoinshrdlu ") for _ in range(n - 2)) + "zz" for _ in range(60)]
         other = [_edited(rng, x, edits) for x in lines]
-        lens, bag, row, marks = line_dedup.line_marks([*lines, *other])
-        sets = [set(marks[row == i].tolist()) for i in range(120)]
+        lens, row, marks, places = line_dedup.line_marks([*lines, *other])
+        met = np.array([(m, lens[r], p, r) for r, m, p in zip(row.tolist(), marks.tolist(), places.tolist())], line_dedup.MARK)
+        pairs = {tuple(sorted(p)) for part in line_dedup.marked_pairs(met, line_dedup.SIMILARITY) for p in part.tolist()}
         true = [i for i in range(60) if _similar(lines[i], other[i])]
-        for i in true:
-            assert line_dedup.bags_apart(bag[i : i + 1], bag[60 + i : 61 + i])[0] <= max(lens[i], lens[60 + i]) // 10 or max(lens[i], lens[60 + i]) >= line_dedup.COUNTED
-        assert len(true) >= 40 and sum(bool(sets[i] & sets[60 + i]) for i in true) >= 0.9 * len(true)
+        ends = np.asarray(true)
+        assert len(line_dedup.may_be_similar([*lines, *other], ends, ends + 60, line_dedup.SIMILARITY)) == len(true)
+        assert all(line_dedup.alike(lines[i], other[i]) for i in true)
+        equal = sum(lines[i] == other[i] for i in true)
+        assert len(true) >= 40 and equal + sum((i, 60 + i) in pairs for i in true) >= 0.9 * len(true)
+
+
+def test_edit_similarity_is_exact():
+    rng = random.Random(12)
+    for _ in range(400):
+        a = "".join(rng.choice("ab c") for _ in range(rng.randrange(8, 30)))
+        b = _edited(rng, a, rng.randrange(5)) if rng.random() < 0.8 else "".join(rng.choice("ab c") for _ in range(rng.randrange(1, 30)))
+        assert line_dedup.alike(a, b, 0.8) == (_distance(a, b) <= int(max(len(a), len(b)) * (1 - 0.8) + 1e-9)), (a, b)
+        assert len(line_dedup.may_be_similar([a, b], np.array([0]), np.array([1]), 0.8)) or not line_dedup.alike(a, b, 0.8)
 
 
 def test_fuzzy_lines_go(spark):
