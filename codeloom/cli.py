@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import itertools
+import time
 from functools import reduce
 from pathlib import Path
 
@@ -71,7 +73,7 @@ def references(spark: SparkSession, root: str, path: str, language: str | None =
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="codeloom", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, text in (("analyze", "analyse folders and store their graphs"), ("build", "analyse each sub-folder as a project"), ("stats", "count nodes and edges"), ("query", "find nodes by name"), ("symbol", "find a symbol"), ("references", "resolve the imports of a file"), ("status", "what changed since the last sync"), ("sync", "bring the stored graph up to date")):
+    for name, text in (("analyze", "analyse folders and store their graphs"), ("build", "analyse each sub-folder as a project"), ("stats", "count nodes and edges"), ("query", "find nodes by name"), ("symbol", "find a symbol"), ("references", "resolve the imports of a file"), ("status", "what changed since the last sync"), ("sync", "bring the stored graph up to date"), ("watch", "sync again and again")):
         one = commands.add_parser(name, help=text)
         if name in ("query", "symbol", "references"):
             one.add_argument("what")
@@ -79,6 +81,9 @@ def main(argv: list[str] | None = None) -> None:
             one.add_argument("--language")
         if name == "sync":
             one.add_argument("--force", action="store_true")
+        if name == "watch":
+            one.add_argument("--seconds", type=float, default=2.0, help="pause between two looks")
+            one.add_argument("--rounds", type=int, default=0, help="looks to take; 0 for no end")
         if name in ("analyze", "build"):
             one.add_argument("--backend", choices=("parquet", "json"), default="parquet")
         one.add_argument("-p", "--project", action="append", default=[])
@@ -94,6 +99,15 @@ def main(argv: list[str] | None = None) -> None:
             stale, first = sync.status(_files(spark, root), _store(spark, root))
             print(f"{root}: {'changed' if stale else 'up to date'}")
             first.show(truncate=False)
+    elif args.command == "watch":
+        for turn in itertools.count(1):
+            for root in roots:
+                done = sync.sync(_files(spark, root), _store(spark, root))
+                if done.action != "SKIP":
+                    print(f"{root}: {done.action}: {done.reason}", flush=True)
+            if turn == args.rounds:
+                break
+            time.sleep(args.seconds)
     elif args.command == "sync":
         for root in roots:
             done = sync.sync(_files(spark, root), _store(spark, root), args.force)

@@ -75,10 +75,10 @@ def impact(edges: DataFrame, node_id: str, depth: int = 2, types=tables.IMPACT_T
     return bfs(edges, node_id, depth, types, incoming).select("id", F.when(F.col("depth") == 1, "direct").otherwise("indirect").alias("reach"))
 
 
-def shortest_path(edges: DataFrame, start: str, end: str, max_depth: int | None = None) -> DataFrame:
+def shortest_path(edges: DataFrame, start: str, end: str, max_depth: int | None = 5) -> DataFrame:
     """``step, id``: the nodes of a shortest path over edges of all types, the first that a queue would find.
 
-    One row for start = end; none if there is no path. Without ``max_depth`` the search goes on to the end.
+    One row for start = end; none if there is no path of ``max_depth`` edges. With None the search goes on to the end.
     """
     spark = edges.sparkSession
     if start == end:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from codeloom import storage
 
+#: Bytes that an id takes at most in a broadcast table, by the longest that are usual: paths of 200 characters and a name.
+ID_BYTES = 320
 
 def node(nodes: DataFrame, node_id: str) -> DataFrame:
     return nodes.where(F.col("id") == node_id)
@@ -78,23 +80,23 @@ def exports(nodes: DataFrame, edges: DataFrame, node_id: str) -> DataFrame:
 
 
 def calls_within(spark: SparkSession, nodes: DataFrame, edges: DataFrame, node_id: str, depth: int = 1, callees: bool = False) -> DataFrame:
-    """Callers (or callees) up to ``depth`` calls away with ``level`` from 0, by a recursive query.
+    """Callers (or callees) up to ``depth`` calls away with ``level`` from 0, as a recursive query would list them.
 
-    Every walk counts: a node shows at each level at which it is reached, the start too where calls run in a
-    circle. Levels beyond 100 need ``spark.sql.cteRecursionLevelLimit`` raised.
+    A node shows at each level at which some walk reaches it, the start too where calls run in a circle. Each level is
+    distinct before the next is looked for: walks multiply at a hub, nodes do not.
     """
-    edges.where("type = 'calls'").select("source", "target").createOrReplaceTempView("codeloom_calls")
-    nodes.createOrReplaceTempView("codeloom_nodes")
     here, there = ("source", "target") if callees else ("target", "source")
-    return spark.sql(
-        f"""
-        WITH RECURSIVE walk(id, level) AS (
-          SELECT {there}, 0 FROM codeloom_calls WHERE {here} = :start
-          UNION ALL
-          SELECT c.{there}, w.level + 1 FROM walk w JOIN codeloom_calls c ON c.{here} = w.id WHERE w.level < :last)
-        SELECT DISTINCT n.*, w.level FROM walk w JOIN codeloom_nodes n ON n.id = w.id""",
-        args={"start": node_id, "last": depth - 1},
-    )
+    calls = edges.where("type = 'calls'").select(F.col(here).alias("near"), F.col(there).alias("far"))
+    level = calls.where(F.col("near") == node_id).select(F.col("far").alias("id")).distinct()
+    found = []
+    for k in range(depth):
+        level = storage.materialize(level, "level")
+        if level.isEmpty():
+            break
+        found.append(level.select("id", F.lit(k).alias("level")))
+        level = calls.join(storage.small(level, ID_BYTES), calls["near"] == level["id"], "left_semi").select(F.col("far").alias("id")).distinct()
+    walk = reduce(DataFrame.union, found) if found else spark.createDataFrame([], "id string, level int")
+    return nodes.join(storage.materialize(walk, "walk") if found else walk, "id").select(*[nodes[c] for c in nodes.columns], "level")
 
 
 def count_by_type(rows: DataFrame) -> DataFrame:

@@ -242,13 +242,13 @@ def impact_depth2(s, d):
 SELECT min(depth)::INT AS length FROM walk WHERE id = 'customer:' || (SELECT o_custkey FROM orders WHERE o_orderkey = 1)""")
 def shortest_path_length(s, d):
     end = G.table(s, d, "orders").where("o_orderkey = 1").first()["o_custkey"]
-    return graph.shortest_path(_e(s, d), "order:1", f"customer:{end}").agg((F.count("*") - 1).cast("int").alias("length"))
+    return graph.shortest_path(_e(s, d), "order:1", f"customer:{end}", max_depth=None).agg((F.count("*") - 1).cast("int").alias("length"))
 
 
 @query()
 def shortest_path_nodes(s, d):
     last = G.table(s, d, "orders").where(f"o_custkey = {G.table(s, d, 'orders').where('o_orderkey = 1').first()['o_custkey']}").agg(F.max("o_orderkey")).first()[0]
-    return graph.shortest_path(_e(s, d), "order:1", f"order:{last}")
+    return graph.shortest_path(_e(s, d), "order:1", f"order:{last}", max_depth=None)
 
 
 _KIN = "kin AS (SELECT 'part:' || p_partkey AS source, 'part:' || (p_partkey // 3) AS target, 'inherits' AS type, p_partkey AS ord FROM part WHERE p_partkey > 0)"
@@ -702,7 +702,7 @@ def _env_files(s, d) -> DataFrame:
 @query("""WITH r AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id)::INT AS line FROM events)
 SELECT 'conf/u' || user_id || '.env' AS file_path, upper(event_type) || '_' || event_id AS name, line FROM r WHERE event_id % 5 <> 0 AND event_id % 7 <> 0""")
 def env_vars(s, d):
-    found = registry.analyze(_env_files(s, d)).select("file_path", F.inline("definitions"))
+    found = registry.analyze(_env_files(s, d), lists=("definitions",)).select("file_path", F.inline("definitions"))
     return found.select("file_path", "name", F.col("line_start").alias("line"))
 
 
@@ -711,7 +711,7 @@ def sql_definitions(s, d):
     k = F.col("c_custkey").cast("string")
     text = F.concat(F.lit("CREATE TABLE IF NOT EXISTS t"), k, F.lit(" (\n  id INT NOT NULL,\n  name TEXT,\n  PRIMARY KEY (id)\n);\ncreate unique index i"), k, F.lit(" on t (id);\n"))
     files = G.table(s, d, "customer").select(F.concat(F.lit("db/c"), k, F.lit(".sql")).alias("path"), text.alias("content"))
-    return registry.analyze(files).select("file_path", F.inline("definitions")).select("file_path", "name", "kind", F.array_join("fields", ",").alias("fields"))
+    return registry.analyze(files, lists=("definitions",)).select("file_path", F.inline("definitions")).select("file_path", "name", "kind", F.array_join("fields", ",").alias("fields"))
 
 
 _PY_PATH = f"'src/' || {_pick(G.FOLDERS, 'o_custkey')} || '/customer' || o_custkey || '.py'"
@@ -720,14 +720,14 @@ _PY_PATH = f"'src/' || {_pick(G.FOLDERS, 'o_custkey')} || '/customer' || o_custk
 @query(f"""WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders)
 SELECT {_PY_PATH} AS file_path, 'order_' || o_orderkey AS name, (6 + (rn - 1) * 3)::INT AS line_start, (7 + (rn - 1) * 3)::INT AS line_end, 'total,status' AS params, 'str' AS return_type FROM o""")
 def python_extract(s, d):
-    found = registry.analyze(G.python_files(s, d)).select("file_path", F.inline("functions"))
+    found = registry.analyze(G.python_files(s, d), lists=("functions",)).select("file_path", F.inline("functions"))
     return found.select("file_path", "name", "line_start", "line_end", F.array_join("params", ",").alias("params"), "return_type")
 
 
 @query(f"""WITH o AS (SELECT o_custkey, o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nxt FROM orders)
 SELECT {_PY_PATH} AS file_path, 'order_' || o_orderkey AS caller, coalesce('order_' || nxt, 'settle') AS callee FROM o""")
 def python_calls(s, d):
-    return registry.analyze(G.python_files(s, d)).select("file_path", F.inline("calls")).select("file_path", "caller", "callee")
+    return registry.analyze(G.python_files(s, d), lists=("calls",)).select("file_path", F.inline("calls")).select("file_path", "caller", "callee")
 
 
 def _whole(s, d) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom import storage
-from codeloom.extract import registry
-from codeloom.operators import build, incremental, layers
+from codeloom.operators import incremental
+from codeloom.plans import project
 from codeloom.sources.store import Store
 
 
@@ -31,9 +31,10 @@ def status(files: DataFrame, store: Store, first: int = 10) -> tuple[bool, DataF
 def sync(files: DataFrame, store: Store, force: bool = False) -> Outcome:
     """Bring the stored graph up to date with ``files`` (all files of the project).
 
-    Content hashes tell what changed. Nothing: skip. A full or architecture update rebuilds everything; a partial
-    one analyses the changed files alone and merges them. Fingerprints are written last, so that a run that
-    fails is repeated. ``force`` rebuilds.
+    Content hashes tell what changed, and the decision how much has to be looked at again. Nothing: skip. Any other
+    action analyses all files: a changed file's calls, imports and parents may lie in files that did not change, and
+    those of unchanged files in it, so links are resolved over the whole table of symbols. Nodes, edges, layers, tour
+    and project are replaced. Fingerprints are written last, so that a run that fails is repeated. ``force`` rebuilds.
     """
     new = storage.materialize(incremental.hashes(files), "hashes")
     old = store.load_fingerprints()
@@ -43,18 +44,10 @@ def sync(files: DataFrame, store: Store, force: bool = False) -> Outcome:
     action = "FULL_UPDATE" if force or graph is None else decision["action"]
     if action == "SKIP":
         return Outcome(action, decision["reason"], changes)
-    if action == "PARTIAL_UPDATE":
-        changed = changes.where("change_class <> 'unchanged'").select("file_path")
-        part = files.join(changed, files["path"] == changed["file_path"], "left_semi")
-        nodes, edges, _ = build.build(part, storage.materialize(registry.analyze(part), "analyses"))
-        n = nodes.drop("ord")
-        old_nodes, old_edges = graph["nodes"].select(*n.columns), graph["edges"]
-        merged = storage.materialize(incremental.merge_nodes(old_nodes, changed, n), "merged-nodes")
-        kept = storage.materialize(incremental.merge_edges(old_nodes, old_edges, changed, n, edges.select(*old_edges.columns)), "merged-edges")
-        store.save_graph(merged, kept)
-    else:
-        nodes, edges, _ = build.build(files, storage.materialize(registry.analyze(files), "analyses"))
-        store.save_graph(nodes, edges, layers.detect_layers(nodes.withColumn("ord", F.col("id"))))
+    known = graph["project"].first() if graph is not None and graph["project"] is not None else None
+    about = {"name": known["name"] or "project", "commit": known["git_commit_hash"] or "unknown"} if known else {}
+    made = project.analyze(files, **about)
+    store.save_graph(made.nodes, made.edges, made.layers, made.tour, made.project)
     store.save_fingerprints(new)
     return Outcome(action, decision["reason"], changes)
 

@@ -261,6 +261,14 @@ def test_store_and_sync(spark, tmp_path, kind):
     after = store.load_graph(validate=True)
     assert after["nodes"].count() == n + 1
     assert after["edges"].where("type = 'calls' AND source = 'function:src/m1.py:g1'").count() == 1
+    have = {(r["source"], r["target"], r["type"]) for r in after["edges"].collect()}
+    assert ("function:src/main.py:run", "function:src/utils.py:helper", "calls") in have and ("file:src/main.py", "file:src/utils.py", "imports") in have
+    edited = changed.where("path <> 'src/main.py'").union(spark.createDataFrame([("src/main.py", FILES[1][1] + "\ndef more(x):\n    return helper(x)\n")], files.schema))
+    assert sync.sync(edited, store).action == "PARTIAL_UPDATE"
+    again = store.load_graph()
+    have = {(r["source"], r["target"], r["type"]) for r in again["edges"].collect()}
+    assert ("function:src/main.py:run", "function:src/utils.py:helper", "calls") in have and ("file:src/main.py", "file:src/utils.py", "imports") in have
+    assert again["tour"].count() >= 1 and again["layers"].count() >= 1 and again["nodes"].where("id = 'function:src/main.py:more'").count() == 1
     store.put("k", "1")
     store.put("k", "2")
     assert store.get("k") == "2" and store.version() == 1

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import pytest
 
-from codeloom.plans import catalogue
+from codeloom.plans import ORACLES, QUERIES
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_rows(same_rows, name):
-    same_rows(catalogue.QUERIES[name], catalogue.ORACLES[name])
+    same_rows(QUERIES[name], ORACLES[name])
