@@ -38,10 +38,10 @@ def bfs(edges: DataFrame, start: str, max_depth: int | None = 3, types=None, inc
     found, depth = [], 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        ends = usable.join(storage.small(frontier, 64 + 40 * depth), usable["src"] == frontier["id"])
+        ends = usable.join(storage.small(frontier), usable["src"] == frontier["id"])
         steps = ends.select("dst", "type", F.concat("trail", F.array("ord")).alias("trail"), F.concat("path", F.array("dst")).alias("path"))
         best = steps.groupBy("dst").agg(F.min(F.struct("trail", "type", "path")).alias("best"))
-        known = storage.small(seen.withColumnRenamed("id", "known"), 48)
+        known = storage.small(seen.withColumnRenamed("id", "known"))
         fresh = best.join(known, best["dst"] == F.col("known"), "left_anti")
         layer = fresh.select(F.col("dst").alias("id"), F.lit(depth).alias("depth"), F.col("best.type").alias("edge_type"), "best.trail", "best.path")
         layer = storage.materialize(layer, "bfs")
@@ -123,7 +123,7 @@ def dfs(edges: DataFrame, start: str, max_depth: int = 3, types=None) -> DataFra
     """
     reach = bfs(edges, start, max_depth, types).select("id").union(edges.sparkSession.createDataFrame([(start,)], "id string"))
     usable = _usable(edges, types, incoming=False)
-    near = usable.join(storage.small(reach, 48), usable["src"] == reach["id"], "left_semi").select("src", "dst", "type", "ord", F.lit(0).alias("one"))
+    near = usable.join(storage.small(reach), usable["src"] == reach["id"], "left_semi").select("src", "dst", "type", "ord", F.lit(0).alias("one"))
 
     def walk(part: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {}

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from codeloom import storage
 
-#: Bytes that an id takes at most in a broadcast table, by the longest that are usual: paths of 200 characters and a name.
-ID_BYTES = 320
 
 def node(nodes: DataFrame, node_id: str) -> DataFrame:
     return nodes.where(F.col("id") == node_id)
@@ -94,7 +92,7 @@ def calls_within(spark: SparkSession, nodes: DataFrame, edges: DataFrame, node_i
         if level.isEmpty():
             break
         found.append(level.select("id", F.lit(k).alias("level")))
-        level = calls.join(storage.small(level, ID_BYTES), calls["near"] == level["id"], "left_semi").select(F.col("far").alias("id")).distinct()
+        level = calls.join(storage.small(level), calls["near"] == level["id"], "left_semi").select(F.col("far").alias("id")).distinct()
     walk = reduce(DataFrame.union, found) if found else spark.createDataFrame([], "id string, level int")
     return nodes.join(storage.materialize(walk, "walk") if found else walk, "id").select(*[nodes[c] for c in nodes.columns], "level")
 
@@ -125,8 +123,8 @@ def _nth(rows: DataFrame, keys: tuple[str, ...], order) -> DataFrame:
 
 
 def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges both ends of which are nodes: two semi joins."""
-    ids = nodes.select(F.col("id").alias("node_id"))
+    """Edges both ends of which are nodes: two semi joins with the ids, which are written once and broadcast if few."""
+    ids = storage.small(storage.materialize(nodes.select(F.col("id").alias("node_id")), "node-ids"))
     return edges.join(ids, edges["source"] == ids["node_id"], "left_semi").join(ids, edges["target"] == ids["node_id"], "left_semi")
 
 

@@ -353,8 +353,7 @@ def validate_nodes(s, d):
 
 @query(f"WITH {BOTH}, {_FIXED_NODES}, {_FIXED_EDGES} SELECT source, target, type, direction, weight FROM good_e WHERE source IN (SELECT id FROM good_n) AND target IN (SELECT id FROM good_n)")
 def validate_edges(s, d):
-    good = storage.materialize(quality.valid_nodes(G.dirty_nodes(s, d)), "valid-nodes")
-    return quality.valid_edges(G.dirty_edges(s, d), good).select("source", "target", "type", "direction", "weight")
+    return quality.valid_edges(G.dirty_edges(s, d), quality.valid_nodes(G.dirty_nodes(s, d))).select("source", "target", "type", "direction", "weight")
 
 
 _LEVELS = f"""

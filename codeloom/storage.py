@@ -52,10 +52,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, row_bytes: int, limit: int = 64 << 20) -> DataFrame:
+def small(df: DataFrame, row_bytes: int | None = None, limit: int = 64 << 20) -> DataFrame:
     """``df`` marked for broadcast if its rows come to at most ``limit`` bytes; else as it is, to be shuffled.
 
-    The count stops as soon as the limit is passed.
+    The rows' own sizes are measured, so ``df`` should be a written table. Rows that cannot be larger than ``row_bytes``
+    are only counted, and the count stops as soon as the limit is passed.
     """
+    if row_bytes is None:
+        size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))) + F.lit(16))).first()[0] or 0
+        return F.broadcast(df) if size <= limit else df
     most = limit // row_bytes
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
