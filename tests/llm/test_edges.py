@@ -51,6 +51,33 @@ def _applied(spark, docs, labels, bench):
 COUNTS = {1: 13, 2: 2, 4: 2, 5: 13, 6: 0, 7: 0, 8: 13, 9: 13}
 
 
+def _expected(op: int, got: list) -> None:
+    """What the operators say of ROWS, beyond the number of rows."""
+    of: dict = {}
+    for r in got:
+        of.setdefault(r["doc_id"], []).append(r)
+    if op == 1:
+        assert [r["n_tokens"] for r in of[3] + of[2]] == [0, 0] and all(r["file"] is None for r in of[3] + of[2])
+        assert len({r["n_tokens"] for r in of[8]}) == 1 and of[8][0]["n_tokens"] > 0
+    elif op == 2:  # the short item in both rows of document 1
+        assert [(r["doc_id"], r["item_id"], r["first_word"], r["last_word"], r["n_words"]) for r in got] == [(1, 1, 3, 5, 3)] * 2
+    elif op == 4:  # repeated rows are one document that counts twice
+        assert {(r["doc_id"], r["group_id"], r["group_size"], r["keep"], r["n"]) for r in got} == {(1, 1, 2, True, 2), (8, 8, 2, True, 2)}
+    elif op == 5:
+        assert all(r["score"] is None and not r["keep"] for r in of[2] + of[3] + of[4]) and of[5][0]["score"] is not None
+        assert len({(r["score"], r["keep"]) for r in of[1]}) == 1
+    elif op == 8:
+        assert all(r["quality"] is None and not r["keep"] for r in of[2] + of[3] + of[4]) and 0 <= of[6][0]["quality"] <= 1
+        assert len({tuple(r) for r in of[8]}) == 1
+    elif op == 9:
+        assert [(r["n_chars"], r["n_tokens"], r["fit_128"], bytes(r["prefix_table"])) for r in of[3] + of[2]] == [(0, 0, 0, b"")] * 2
+        assert of[6][0]["n_chars"] == len(LONG) and of[6][0]["n_tokens"] > 60_000 > of[6][0]["fit_2048"] > of[6][0]["fit_128"] > 0
+    elif op == 10:
+        texts = [(r["doc_id"], r["text"]) for r in got]
+        assert texts.count((1, ROWS[0][1])) == 2 and texts.count((8, "word")) == 2 and (None, "one two three") not in texts
+        assert texts.count((None, None)) == 1 and (2, None) in texts and (3, "") in texts and (5, "!!!") in texts and (6, LONG) in texts
+
+
 @pytest.mark.parametrize("op", range(1, 11))
 def test_odd_rows_and_empty_tables(spark, docs, labels, bench, op):
     apply = _applied(spark, docs, labels, bench)[op]
@@ -59,6 +86,7 @@ def test_odd_rows_and_empty_tables(spark, docs, labels, bench, op):
         assert len(got) == COUNTS[op]
     if op == 3:
         assert sum(r["bin"] is None for r in got) == 3 and {r["doc_id"] for r in got} == {i for i, _ in ROWS}
+    _expected(op, got)
     if op == 10:
         assert apply(docs).columns == docs.columns
     assert apply(docs.limit(0)).collect() == []
