@@ -552,7 +552,7 @@ def test_line_candidates_against_edit_similarity_alone(n):
         other = [_edited(rng, x, edits) for x in lines]
         lens, row, marks, places = line_dedup.line_marks([*lines, *other])
         met = np.array([(m, lens[r], p, r) for r, m, p in zip(row.tolist(), marks.tolist(), places.tolist())], line_dedup.MARK)
-        pairs = {tuple(sorted(p)) for part in line_dedup.marked_pairs(met, line_dedup.SIMILARITY) for p in part.tolist()}
+        pairs = {tuple(sorted(p)) for part, _ in line_dedup.marked_pairs(met, line_dedup.SIMILARITY) for p in part.tolist()}
         true = [i for i in range(60) if _similar(lines[i], other[i])]
         ends = np.asarray(true)
         assert len(line_dedup.may_be_similar([*lines, *other], ends, ends + 60, line_dedup.SIMILARITY)) == len(true)
