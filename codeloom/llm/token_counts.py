@@ -39,14 +39,14 @@ def prefix_counts(docs: DataFrame, budgets: tuple[int, ...] = BUDGETS, vocab: st
 
     Nulls: a null text counts as empty: no tokens, an empty table, 0 characters fit. A null doc_id is kept;
     repeated rows give repeated results. An empty table gives no rows. A very long text costs about ten times its own
-    size in memory; others are taken together up to ``common.PIECE`` bytes.
+    size in memory; others are taken together up to four times ``common.PIECE`` bytes.
     """
     names = ["doc_id", "n_chars", "n_tokens", *(f"fit_{b}" for b in budgets), "prefix_table"]
     schema = "doc_id bigint, n_chars bigint, n_tokens bigint, " + "".join(f"fit_{b} bigint, " for b in budgets) + "prefix_table binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, pack = tokenizer.prefix_table(vocab), zstandard.ZstdCompressor(level=1)
-        for batch in common.pieces(batches):
+        for batch in common.pieces(batches, size=4 * common.PIECE):
             chars, total, fits, tables = [], [], [], []
             for raw in made.deltas(batch.column("text")):
                 counts = np.cumsum(np.frombuffer(raw, np.int8), dtype=np.int32)

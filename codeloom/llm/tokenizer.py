@@ -140,13 +140,13 @@ class PrefixTable:
         self.pairs: dict[int, bool] = {}
         self.find = regex.compile(_FIND).findall
         self.states: dict[bytes, int] = {}
-        self.words = Cache(self._word, 100_000)
-        self.chunks = Cache(self._chunk)
+        self.words = Cache(self._word, 300_000)
+        self.chunks = Cache(self._chunk, 600_000)
 
     def _fits(self, a: int, b: int) -> bool:
         """Whether token b can follow token a (-1: begin a piece) in an encoding."""
         ok = self.piece(self.bytes_of[b]) == [b] if a < 0 else self.piece(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-        if len(self.pairs) < 400_000:
+        if len(self.pairs) < 1_000_000:
             self.pairs[a << 32 | b] = ok
         return ok
 
@@ -172,7 +172,7 @@ class PrefixTable:
                 if fits or fits is None and self._fits(last[begin], t):
                     last.append(t)
                     count.append(count[begin] + 1)
-                    if head is not None and len(states) < 400_000:
+                    if head is not None and len(states) < 1_000_000:
                         states[head] = t << 8 | count[end]
                     break
             else:
