@@ -535,6 +535,30 @@ def test_split_groups_verify_alike(spark):
         assert mine == root
 
 
+def test_copies_meet_in_few_pairs(spark):
+    """Lines of one group are compared as a chain first; what that connects is no pair again, with or without joins."""
+    rows = [(k, f"{prose(80, 40)} {k:03d}") for k in range(60)] + [(100 + k, prose(81 + k, 40)) for k in range(4)]
+    met = line_dedup.meet(table(spark, rows))
+    near = {(r["a"], r["b"]) for r in met.where(f"kind = {line_dedup.NEAR}").collect()}
+    members = sorted({x for pair in near for x in pair})
+    assert len(members) == 60 and len(near) < 60 * 59 // 4
+    apart = spark.createDataFrame([], "node bigint, component bigint")
+    joined = spark.createDataFrame([(x, members[0]) for x in members], "node bigint, component bigint")
+    for limit in (1000, 0):
+        every = {(r["a"], r["b"]) for r in line_dedup.other_pairs(met, apart, most_known=limit).collect()}
+        assert every | near == set(itertools.combinations(members, 2))
+        assert line_dedup.other_pairs(met, joined, most_known=limit).isEmpty()
+
+
+def test_edit_distances_of_many_pairs():
+    rng = random.Random(13)
+    texts = ["".join(rng.choice("abc é\u4e00") for _ in range(rng.randrange(1, 180))) for _ in range(120)]
+    texts += [_edited(rng, t, rng.randrange(len(t) // 5 + 1)) for t in texts]
+    x, y = np.r_[0:120, 0:119], np.r_[120:240, 1:120]
+    got = line_dedup.similar_pairs(texts, x, y, 0.9)
+    assert got.tolist() == [_similar(texts[i], texts[j]) for i, j in zip(x.tolist(), y.tolist())] and 40 < got.sum() < 120
+
+
 def _edited(rng: random.Random, text: str, edits: int) -> str:
     out = list(text)
     for _ in range(edits):
