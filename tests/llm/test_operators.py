@@ -14,7 +14,7 @@ import pytest
 import tiktoken
 from conftest import SF
 
-from codeloom.llm import classifier, common, decontaminate, licenses, line_dedup, near_dedup, packing, quality, queries, simhash, substring_dedup, token_counts, token_output, tokenizer
+from codeloom.llm import classifier, common, components, decontaminate, licenses, line_dedup, near_dedup, packing, quality, queries, simhash, substring_dedup, token_counts, token_output, tokenizer
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
 
@@ -275,6 +275,48 @@ def test_near_duplicate_groups_against_brute_force(spark, docs, texts):
     assert sorted(kept) == sorted(set(ids) - lost)
 
 
+def _flipped(rng, sig, most):
+    out = sig.copy()
+    for bit in rng.choice(64 * len(sig), rng.integers(0, most + 1), replace=False):
+        out[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    return out
+
+
+def _nodes(spark, sigs):
+    return spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(sigs)], "node bigint, sig binary")
+
+
+def test_a_large_cluster_of_near_copies_is_not_written_as_all_its_pairs(spark):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, near_dedup.SIG_WORDS, dtype=np.uint64)
+    rows = near_dedup.candidate_pairs(_nodes(spark, [_flipped(rng, base, 30) for _ in range(700)]), shards=3).collect()
+    pairs = [(r["a"], r["b"]) for r in rows if r["a"] != r["b"]]
+    assert len(pairs) <= 700 * 2 * near_dedup.PLENTY < 700 * 699 / 2 / 5
+    assert {r["a"] for r in rows if r["a"] == r["b"]} == set(range(700))
+    _, root = components.union(*np.array(pairs).T)
+    assert len(root) == 700 and not root.any()
+
+
+@pytest.mark.parametrize("dense_pass", [10, 10_000])
+def test_other_pairs_of_dense_nodes_are_all_found(spark, dense_pass):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, near_dedup.SIG_WORDS, dtype=np.uint64)
+    loose = [_flipped(rng, base, 60) for _ in range(60)]
+    sigs = np.array([*loose, *(_flipped(rng, loose[0], 20) for _ in range(40)), *rng.integers(0, 1 << 63, (50, near_dedup.SIG_WORDS), dtype=np.uint64)])
+    dense = [*range(0, 30), *range(60, 90)]
+    root = {k: k % 4 for k in range(80)}
+    met = {(0, 1), (2, 3)}
+    got = near_dedup.other_pairs(
+        _nodes(spark, sigs),
+        spark.createDataFrame([*met, *((k, k) for k in dense)], "a bigint, b bigint"),
+        spark.createDataFrame([(k, r) for k, r in root.items()], "node bigint, root bigint"),
+        dense_pass=dense_pass,
+    ).collect()
+    near = simhash.distance(sigs[:, None], sigs[None, :]) <= near_dedup.RADIUS
+    want = {(i, j) for i, j in itertools.combinations(range(len(sigs)), 2) if near[i, j] and (i in dense or j in dense) and root.get(i, i + 1000) != root.get(j, j + 1000)} - met
+    assert len(want) > 500 and sorted(map(tuple, got)) == sorted(want)
+
+
 # 5: quality rules
 
 
