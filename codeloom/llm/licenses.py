@@ -125,6 +125,9 @@ def _tools(templates: tuple) -> tuple[zstandard.ZstdCompressor, list[tuple]]:
     return plain, made
 
 
+common.remembers(_tools.cache_clear)
+
+
 def wording(block: list[str], template: list[str]) -> tuple[int, int, list[str]]:
     """(words of the template missing, words added between its own, the differences) for the best alignment."""
     runs = [m for m in difflib.SequenceMatcher(None, block, template, autojunk=False).get_matching_blocks() if m.size]

@@ -19,6 +19,7 @@ KEEP_SHARE = 0.995
 
 
 _known: dict[str, int] = {}
+common.remembers(_known.clear)
 
 
 def _hash(word: str) -> int:
@@ -95,6 +96,7 @@ def scorer(spark: SparkSession, model: np.ndarray):
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
+        common.takes_over(__name__)
         return common.in_pieces(text, means)
 
     return score

@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 import regex
 import tiktoken
 
+from . import common
+
 DEFAULT_VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct chunks a worker remembers; the common ones come early, later ones are made anew (speed only).
@@ -240,3 +242,7 @@ class PrefixTable:
 @functools.cache
 def prefix_table(path: str) -> PrefixTable:
     return PrefixTable(path)
+
+
+for _kept in (encoding, counter, coder, prefix_table):
+    common.remembers(_kept.cache_clear)

@@ -12,7 +12,7 @@ from conftest import SF
 from test_operators import _edited, _kept_lines, _sets, _similar, prose, table
 
 import corpus_pipeline
-from codeloom.llm import classifier, common, near_dedup
+from codeloom.llm import classifier, common, near_dedup, quality, tokenizer
 
 STAGES = dict(corpus_pipeline.STAGES)
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -69,6 +69,31 @@ def test_run_is_its_stages(spark):
     assert {r["doc_id"] for r in rows} <= {r["doc_id"] for r in common.table(spark, SF, "documents").select("doc_id").collect()}
 
 
+def test_a_worker_forgets_what_another_operator_remembered(spark):
+    def keeps(batches):
+        for batch in batches:
+            quality.buckets_of(batch.column("text"), 64)
+            tokenizer.token_counts(batch.column("text"))
+            yield pa.record_batch([pa.array([len(quality._known)]), pa.array([tokenizer.counter.cache_info().currsize])], names=["words", "counters"])
+
+    def looks(batches):
+        for _ in batches:
+            yield pa.record_batch([pa.array([len(quality._known)]), pa.array([tokenizer.counter.cache_info().currsize])], names=["words", "counters"])
+
+    looks.__module__ = "another"
+    text = _documents(spark, [(1, prose(77, 50))]).select("text").repartition(1)
+    both = common.mapped(text, keeps, "words bigint, counters bigint")
+    assert min(both.first()) > 0
+    for _ in range(8):  # whichever idle worker takes it
+        assert max(common.mapped(text, looks, "words bigint, counters bigint").first()) == 0
+
+
+def test_every_task_slot_collects_garbage_before_a_stage(spark):
+    assert common.give_back(spark) == spark.sparkContext.defaultParallelism
+    for name, stage in STAGES.items():
+        assert "give_back" in stage.__code__.co_names, name
+
+
 # 8: the classifier, plainly
 
 
