@@ -32,3 +32,31 @@ def test_inheritance_of_one_name_grows_with_its_askers(spark):
     made = resolve.inheritance(wanted, symbols)
     assert {(r["target"], r["type"]) for r in made.collect()} == {("class:lib/0000.py:Base", "inherits")} and made.count() == n
     assert most_joined(made) == n
+
+
+def test_fuzzy_names_meet_only_what_they_match(spark):
+    names = ["part_%03d" % k for k in range(300)] + ["xpart_007y", "Part", "PA_RT", "café_007"]
+    asked = ["PART_%03d" % k for k in range(0, 300, 3)] + ["PAR", "par", "PART", "Part_00", "rt_0", "ART", "CAFÉ", "zz", "é_0"]
+    known = spark.createDataFrame([(n,) for n in names], "name string")
+    want = spark.createDataFrame([(a, "call") for a in asked], "symbol string, ref_type string")
+
+    def rule(symbol: str, name: str) -> float | None:
+        low, other = symbol.lower(), name.lower()
+        if low.replace("_", "") == other.replace("_", ""):
+            return 0.5 if low == other else 0.4
+        if len(symbol) >= 3 and other.startswith(low):
+            return 0.35
+        return 0.3 if len(symbol) >= 4 and low in other else None
+
+    found = resolve.fuzzy_matches(want, known)
+    every = {(a, n): rule(a, n) for a in asked for n in names}
+    assert {(r["symbol"], r["name"]): r["confidence"] for r in found.collect()} == {pair: c for pair, c in every.items() if c is not None}
+    assert most_joined(resolve.fuzzy_matches(want.where("symbol LIKE 'PART\\\\_%'"), known)) <= 100 + 10
+
+
+def test_the_first_file_of_a_name_that_is_not_the_asking_one(spark):
+    symbols = spark.createDataFrame([("f", "b.py", "function", 2), ("f", "a.py", "function", 1), ("f", "c.py", "function", 3), ("own", "d.py", "function", 4)], "name string, file string, kind string, ord int")
+    exports = spark.createDataFrame([("e.py", "F", 1), ("e.py", "own", 5)], "file string, name string, ord int")
+    asks = spark.createDataFrame([(s, n, "call") for n in ("f", "own") for s in ("a.py", "b.py", "d.py", "e.py")], "source_file string, symbol string, ref_type string")
+    got = {(r["source_file"], r["symbol"]): r["target_file"] for r in resolve.by_name(asks, symbols, exports).collect()}
+    assert got == {("a.py", "f"): "b.py", ("b.py", "f"): "a.py", ("d.py", "f"): "a.py", ("e.py", "f"): "a.py", ("a.py", "own"): "d.py", ("b.py", "own"): "d.py", ("d.py", "own"): "e.py", ("e.py", "own"): "d.py"}
