@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeloom.operators import resolve
+from codeloom.operators import graph, resolve
 
 
 def _plans(plan):
@@ -60,3 +60,14 @@ def test_the_first_file_of_a_name_that_is_not_the_asking_one(spark):
     asks = spark.createDataFrame([(s, n, "call") for n in ("f", "own") for s in ("a.py", "b.py", "d.py", "e.py")], "source_file string, symbol string, ref_type string")
     got = {(r["source_file"], r["symbol"]): r["target_file"] for r in resolve.by_name(asks, symbols, exports).collect()}
     assert got == {("a.py", "f"): "b.py", ("b.py", "f"): "a.py", ("d.py", "f"): "a.py", ("e.py", "f"): "a.py", ("a.py", "own"): "d.py", ("b.py", "own"): "d.py", ("d.py", "own"): "e.py", ("e.py", "own"): "d.py"}
+
+
+def test_places_in_layers_do_not_lengthen_with_depth(spark):
+    """Five chains, each of whose nodes also leads to one of two ends that lead nowhere; one end waits for a circle."""
+    ids = [f"c{k}.{d}" for d in range(9) for k in range(5)] + ["end0", "end1", "x", "y"]
+    links = [(f"c{k}.{d}", f"c{k}.{d + 1}") for d in range(8) for k in range(5)] + [(f"c{k}.{d}", f"end{k % 2}") for d in range(9) for k in range(5)] + [("x", "y"), ("y", "x"), ("y", "end1"), ("nowhere", "end0")]
+    n = spark.createDataFrame([(i, "function", k) for k, i in enumerate(ids)], "id string, type string, ord bigint")
+    e = spark.createDataFrame([(a, b, k) for k, (a, b) in enumerate(links)], "source string, target string, ord bigint")
+    got = [sorted(graph.topological_order(n, e, one_task=limit).collect(), key=lambda r: (r["layer"] is None, r["layer"] or 0, list(r["trail"]))) for limit in (1000, 0)]
+    assert [r["id"] for r in got[0]] == [r["id"] for r in got[1]] and {r["id"] for r in got[1] if r["layer"] is None} == {"end1", "x", "y"}
+    assert max(len(r["trail"]) for r in got[1]) == 2 and max(r["layer"] or 0 for r in got[1]) == 9
