@@ -692,7 +692,7 @@ def line_sections(s, d):
 
 
 def _env_files(s, d) -> DataFrame:
-    e = G.table(s, d, "events")
+    e = G.dealt(G.table(s, d, "events").select("user_id", "event_id", "event_type", "value"), G.DEALT_ROWS, "user_id")
     line = F.concat(F.when(F.col("event_id") % 5 == 0, "# ").otherwise(""), F.upper("event_type"), F.lit("_"), F.col("event_id").cast("string"), F.when(F.col("event_id") % 7 == 0, " = ").otherwise("="), F.col("value").cast("string"))
     rows = F.array_sort(F.collect_list(F.struct("event_id", line.alias("line"))))
     return e.groupBy("user_id").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("content")).select(F.concat(F.lit("conf/u"), F.col("user_id").cast("string"), F.lit(".env")).alias("path"), "content")
@@ -709,7 +709,7 @@ def env_vars(s, d):
 def sql_definitions(s, d):
     k = F.col("c_custkey").cast("string")
     text = F.concat(F.lit("CREATE TABLE IF NOT EXISTS t"), k, F.lit(" (\n  id INT NOT NULL,\n  name TEXT,\n  PRIMARY KEY (id)\n);\ncreate unique index i"), k, F.lit(" on t (id);\n"))
-    files = G.table(s, d, "customer").select(F.concat(F.lit("db/c"), k, F.lit(".sql")).alias("path"), text.alias("content"))
+    files = G.dealt(G.table(s, d, "customer").select("c_custkey"), G.DEALT_KEYS).select(F.concat(F.lit("db/c"), k, F.lit(".sql")).alias("path"), text.alias("content"))
     return registry.analyze(files, lists=("definitions",)).select("file_path", F.inline("definitions")).select("file_path", "name", "kind", F.array_join("fields", ",").alias("fields"))
 
 

@@ -121,7 +121,7 @@ def _planted(name: str, field: str, columns: list[str], path: str, variants: lis
     def run(s, d):
         key = F.col("c_custkey").cast("string")
         text = F.element_at(F.array(*[F.lit(t) for t, _ in variants]), (F.col("c_custkey") % len(variants) + 1).cast("int"))
-        files = G.table(s, d, "customer").select(F.replace(F.lit(path), F.lit("@k"), key).alias("path"), F.replace(text, F.lit("@k"), key).alias("content"))
+        files = G.dealt(G.table(s, d, "customer").select("c_custkey"), G.DEALT_KEYS).select(F.replace(F.lit(path), F.lit("@k"), key).alias("path"), F.replace(text, F.lit("@k"), key).alias("content"))
         found = registry.analyze(files, lists=(field,)).select("file_path", F.inline(field))
         return found.select("file_path", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) if c in _LISTS else c for c in columns])
 

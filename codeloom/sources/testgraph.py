@@ -17,12 +17,21 @@ FOLDERS = ("routes", "services", "models", "components", "utils", "tests", "misc
 SUFFIXES = ("py", "ts", "java")
 DOC_SUFFIXES = ("md", "yaml", "sql", "sh", "txt")
 _NO_TAGS = "cast(array() as array<string>)"
+#: Keys, and rows of which texts are put together, that go to one task at most, about.
+DEALT_KEYS = 20_000
+DEALT_ROWS = 100_000
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, most: int, *by: str) -> DataFrame:
+    """``rows`` in parts of about ``most``: one partition of a scan holds millions of keys, and the text of each is parsed."""
+    parts = -(-rows.count() // most)
+    return rows if parts < 2 else rows.repartition(parts, *by)
+
+
 def _key(kind: str, col: str) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.col(col).cast("string"))
 
@@ -156,7 +165,7 @@ def document_files(spark: SparkSession, root: str) -> DataFrame:
 def python_files(spark: SparkSession, root: str) -> DataFrame:
     """``path, content`` of one Python file for each customer: a function for each order, which calls the next one."""
     chain = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    orders = table(spark, root, "orders").select("o_custkey", "o_orderkey", F.lead("o_orderkey").over(chain).alias("then"))
+    orders = dealt(table(spark, root, "orders").select("o_custkey", "o_orderkey"), DEALT_ROWS, "o_custkey").select("o_custkey", "o_orderkey", F.lead("o_orderkey").over(chain).alias("then"))
     body = F.concat(
         F.lit("def order_"), F.col("o_orderkey").cast("string"), F.lit("(total, *rest: int, status='O') -> str:\n    return "),
         F.coalesce(F.concat(F.lit("order_"), F.col("then").cast("string"), F.lit("(total)")), F.lit("settle(total)")), F.lit("\n"),

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import pytest
+from conftest import SF
+
 from codeloom.operators import graph, resolve
+from codeloom.plans import catalogue
+from codeloom.sources import testgraph
 
 
 def _plans(plan):
@@ -71,3 +76,10 @@ def test_places_in_layers_do_not_lengthen_with_depth(spark):
     got = [sorted(graph.topological_order(n, e, one_task=limit).collect(), key=lambda r: (r["layer"] is None, r["layer"] or 0, list(r["trail"]))) for limit in (1000, 0)]
     assert [r["id"] for r in got[0]] == [r["id"] for r in got[1]] and {r["id"] for r in got[1] if r["layer"] is None} == {"end1", "x", "y"}
     assert max(len(r["trail"]) for r in got[1]) == 2 and max(r["layer"] or 0 for r in got[1]) == 9
+
+
+@pytest.mark.parametrize("name", ["java_classes", "typescript_functions", "typescript_imports", "sql_definitions", "python_extract", "env_vars"])
+def test_texts_are_dealt_out_before_they_are_parsed(spark, monkeypatch, name):
+    monkeypatch.setattr(testgraph, "DEALT_KEYS", 10)
+    monkeypatch.setattr(testgraph, "DEALT_ROWS", 50)
+    assert catalogue.QUERIES[name](spark, SF).rdd.getNumPartitions() >= 8
