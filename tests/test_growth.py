@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
 from codeloom.operators import graph, resolve
 from codeloom.plans import catalogue
@@ -21,15 +22,19 @@ def _plans(plan):
         yield from _plans(plan.children().apply(k))
 
 
-def most_joined(df) -> int:
+def most_joined(df, kind: str = "Join") -> int:
     """Rows that the largest join of a plan gives, once it has run."""
     # the executed plan of the DataFrame itself: collect would plan a copy
     df._jdf.queryExecution().executedPlan().executeCollect()
-    found = [p.metrics().apply("numOutputRows").value() for p in _plans(df._jdf.queryExecution().executedPlan()) if "Join" in p.getClass().getSimpleName()]
+    found = [p.metrics().apply("numOutputRows").value() for p in _plans(df._jdf.queryExecution().executedPlan()) if kind in p.getClass().getSimpleName()]
     assert found
     return max(found)
 
 
+def most_generated(df) -> int:
+    return most_joined(df, "Generate")
+
+
 def test_inheritance_of_one_name_grows_with_its_askers(spark):
     n = 300
     symbols = spark.range(n).selectExpr("'Base' AS name", "concat('lib/', lpad(id, 4, '0'), '.py') AS file", "'class' AS kind", "id AS ord")
@@ -83,3 +88,17 @@ def test_texts_are_dealt_out_before_they_are_parsed(spark, monkeypatch, name):
     monkeypatch.setattr(testgraph, "DEALT_KEYS", 10)
     monkeypatch.setattr(testgraph, "DEALT_ROWS", 50)
     assert catalogue.QUERIES[name](spark, SF).rdd.getNumPartitions() >= 8
+
+
+def test_imports_meet_files_under_few_stems(spark):
+    n = 200
+    files = [f"pkg/sub{k}" + (".py", "/__init__.py", ".pyi")[k % 3] for k in range(n)] + ["pkg/sub0/__init__.py", "src/a/near.py", "src/a/up.d.ts", "src/b.ts", "b.js"]
+    imports = [("src/a/main.py", f"pkg.sub{k}", "python") for k in range(n)] + [("src/a/main.py", "near", "python"), ("src/a/x.ts", "./up", "typescript"), ("src/a/x.ts", "../b", "typescript"), ("src/a/x.ts", "../../b.js", "javascript"), ("src/a/x.ts", "../../../b", "typescript"), ("src/a/x.rb", "near", "ruby"), ("src/a/x.rb", "none", None)]
+    f, i = spark.createDataFrame([(x,) for x in files], "path string"), spark.createDataFrame(imports, "file string, source string, language string")
+    made = resolve.imports_to_files(i, f)
+    got = {(r["file"], r["source"]): r["target"] for r in made.collect()}
+    assert got == {**{("src/a/main.py", f"pkg.sub{k}"): files[k] for k in range(n)}, ("src/a/main.py", "near"): "src/a/near.py", ("src/a/x.ts", "./up"): "src/a/up.d.ts", ("src/a/x.ts", "../b"): "src/b.ts", ("src/a/x.ts", "../../b.js"): "b.js", ("src/a/x.rb", "near"): "src/a/near.py"}
+    every = resolve._import_candidates("python")
+    assert i.where("language = 'python'").select(F.size(every).alias("n")).first()["n"] > 30
+    python = resolve._first_hit(i.where("language = 'python'"), resolve._known_files(f), ["file", "source"], every)
+    assert most_generated(python) <= 5 * (n + 1)
