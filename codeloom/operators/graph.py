@@ -31,11 +31,13 @@ def bfs(edges: DataFrame, start: str, max_depth: int | None = 3, types=None, inc
     ``path`` has the nodes from the start on. ``stop_at`` ends the search in the round that finds that node.
 
     A round joins the frontier (broadcast if it is small) with the edges, keeps the best edge of each new node,
-    and is written to the shared folder; edges are filtered by type before the loop. None for ``max_depth`` goes
+    and is written to the shared folder; edges are filtered by type, and written, before the loop. None for ``max_depth`` goes
     on until nothing new is found.
     """
     spark = edges.sparkSession
     usable = _usable(edges, types, incoming)
+    if max_depth is None or max_depth > 1:  # what the edges are made of is not made anew in each round
+        usable = storage.materialize(usable, "bfs-edges")
     frontier = spark.createDataFrame([(start, [], [start])], "id string, trail array<bigint>, path array<string>")
     seen = frontier.select("id")
     found, depth = [], 0

@@ -102,3 +102,18 @@ def test_imports_meet_files_under_few_stems(spark):
     assert i.where("language = 'python'").select(F.size(every).alias("n")).first()["n"] > 30
     python = resolve._first_hit(i.where("language = 'python'"), resolve._known_files(f), ["file", "source"], every)
     assert most_generated(python) <= 5 * (n + 1)
+
+
+def test_edges_are_made_once_for_all_rounds(spark):
+    read = spark.sparkContext.accumulator(0)
+    links = [(f"n{k}", f"n{k + 1}", "calls", k) for k in range(6)]
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame(links, "source string, target string, type string, ord bigint")
+    edges = edges.mapInArrow(counted, edges.schema)
+    assert graph.shortest_path(edges, "n0", "n6", max_depth=None).count() == 7
+    assert read.value == len(links)
